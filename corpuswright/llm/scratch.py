@@ -1,0 +1,52 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="corpuswright-"))
+    return "file://" + _own[0]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/corpuswright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: lineage ends here, and a lost
+    executor costs no more than the stages that follow."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a table that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            drop(spark, path)
+        except Exception:  # the session has ended; its folder goes with it
+            return
