@@ -62,16 +62,16 @@ def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
 _loaded: dict = {}
 
 
-def library_encoder(path: str, value: Callable):
-    """Pieces by the tokenizers library, one for each Python worker. value: ids -> what is kept.
+def library_encoder(path: str, ids: bool) -> Pieces:
+    """Pieces by the tokenizers library, one for each Python worker: their ids as little-endian
+    unsigned 32-bit integers, or just how many there are.
 
-    Unseen pieces are joined and encoded in one call; as each begins a pre-token, the bytes that the
+    Unseen pieces are joined and encoded together; as each begins a pre-token, the bytes that the
     tokens stand for tell which ids belong to which piece."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = (path, value.__name__)
-    if key not in _loaded:
+    if (path, ids) not in _loaded:
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -82,20 +82,16 @@ def library_encoder(path: str, value: Callable):
 
         def encode(new: list[str]) -> list:
             out: list = [None] * len(new)
-            apart = [i for i, x in enumerate(new) if len(x) < 2 or x[0] != " " or x[1].isspace() or x[-1].isspace()]
-            for i, e in zip(apart, tokenizer.encode_batch_fast([new[i] for i in apart], add_special_tokens=False), strict=True):
-                out[i] = value(e.ids)
-            gone = set(apart)
-            joined = [i for i in range(len(new)) if i not in gone]
-            for k in range(0, len(joined), 20_000):
-                part = joined[k : k + 20_000]
-                ids = np.array(tokenizer.encode("".join([new[i] for i in part]), add_special_tokens=False).ids, np.uint32)
-                cuts = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(new[i].encode()) for i in part])) + 1
-                begin = 0
-                for i, end in zip(part, cuts.tolist(), strict=True):
-                    out[i] = value(ids[begin:end])
+            joined = [i for i, x in enumerate(new) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()]
+            groups = [joined[k : k + 500] for k in range(0, len(joined), 500)] + [[i] for i in sorted(set(range(len(new))) - set(joined))]
+            for group, e in zip(groups, tokenizer.encode_batch_fast(["".join([new[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                found = np.array(e.ids, "<u4")
+                data, begin = found.tobytes(), 0
+                cuts = np.searchsorted(np.cumsum(width[found]), np.cumsum([len(new[i].encode()) for i in group])) + 1 if len(group) > 1 else np.array([len(found)])
+                for i, end in zip(group, cuts.tolist(), strict=True):
+                    out[i] = data[4 * begin : 4 * end] if ids else end - begin
                     begin = end
             return out
 
-        _loaded[key] = Pieces(encode)
-    return _loaded[key]
+        _loaded[path, ids] = Pieces(encode)
+    return _loaded[path, ids]

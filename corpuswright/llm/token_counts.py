@@ -24,7 +24,7 @@ def lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> Dat
     """n_tokens of each row; a null text has length 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.library_encoder(tokenizer_path, len)
+        encoder = pieces.library_encoder(tokenizer_path, ids=False)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             n = [sum(v) for i, j in pieces.chunks(texts, CHUNK_CHARS) for v in encoder.values(texts[i:j])]

@@ -137,20 +137,16 @@ class Segment:
         return self.levels.slice(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def _id_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of all documents in ascending doc_id order (null first; then by text).
 
     A null text counts as empty; rows that repeat a doc_id stay apart; an empty table gives no
     segments; other columns are ignored. end_id is appended to each document."""
-    end = b"" if end_id is None else _id_bytes([end_id])
+    end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = pieces.library_encoder(tokenizer_path, _id_bytes)
+        encoder = pieces.library_encoder(tokenizer_path, ids=True)
         names, counts, found, size = [], [], [], 0
 
         def flush():
