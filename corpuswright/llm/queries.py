@@ -31,6 +31,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_and_read(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shards
+
+    return shards.balanced_shards(_read(spark, sf_dir, "documents"), shards=40)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import scratch, token_counts
 
