@@ -165,7 +165,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool
             for i, j in pieces.chunks(texts, CHUNK_CHARS):
                 n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
                 for values in coder.values(texts[i:j]):
-                    ids, text = b"".join([v[0] for v in values]), b"".join([v[1] for v in values])
+                    ids, text = map(b"".join, zip(*values, strict=True))
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(text).hexdigest())

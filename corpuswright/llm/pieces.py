@@ -7,44 +7,43 @@ so each worker keeps the results of the latest ones in a cache of bounded size."
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 _TWO = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def split(text: str) -> list[str]:
-    """The pieces of text; each but the first lacks the space that it begins with."""
-    return _CUT.split(text) if _TWO.search(text) else text.split(" ")
+    """Keys of the pieces of text. Each piece but the first begins with a space, which its key lacks;
+    the first one's key has a space more. No other key begins with one."""
+    parts = _CUT.split(text) if _TWO.search(text) else text.split(" ")
+    parts[0] = " " + parts[0]
+    return parts
 
 
 class Pieces:
     """encode(pieces) -> one value for each, called with distinct unseen pieces.
     most: entries kept; the cache starts anew beyond that."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 300_000):
-        self.encode, self.most = encode, most
-        self.first: dict[str, object] = {}
-        self.rest: dict[str, object] = {}
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000):
+        self.encode, self.most, self.known = encode, most, {}
+        # Millions of strings come and go here, and no cycles: seldom look for those.
+        gc.set_threshold(200_000, 50, 100)
 
-    def _fill(self, cache: dict, wanted: set[str], lead: str) -> None:
-        new = list(wanted - cache.keys())
-        if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(wanted)
-            cache.update(zip(new, self.encode([lead + x for x in new]), strict=True))
-
-    def values(self, texts: list[str]) -> Iterator[list]:
+    def values(self, texts: list[str]) -> Iterator[Iterator]:
         """The values of each text's pieces, in order."""
         parts = [split(t) for t in texts]
-        self._fill(self.first, {p[0] for p in parts}, "")
-        self._fill(self.rest, set(chain.from_iterable(p[1:] if len(p) > 1 else () for p in parts)), " ")
-        get = self.rest.__getitem__
+        wanted, known = set().union(*parts), self.known
+        new = list(wanted - known.keys())
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = list(wanted)
+        if new:
+            known.update(zip(new, self.encode([k[1:] if k[:1] == " " else " " + k for k in new]), strict=True))
         for p in parts:
-            yield [self.first[p[0]], *map(get, p[1:])]
+            yield map(known.__getitem__, p)
 
 
 def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
@@ -59,6 +58,10 @@ def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+#: Characters that are neither letters, numbers nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pre-tokens whose codes a worker keeps.
+WORDS = 500_000
 _loaded: dict = {}
 
 
@@ -66,8 +69,9 @@ def library_encoder(path: str, ids: bool) -> Pieces:
     """Pieces by the tokenizers library, one for each Python worker: their ids as little-endian
     unsigned 32-bit integers, or just how many there are.
 
-    Unseen pieces are joined and encoded together; as each begins a pre-token, the bytes that the
-    tokens stand for tell which ids belong to which piece."""
+    Marks at a piece's end are encoded apart from the word before them. Unseen words are joined and
+    encoded together; as each begins a pre-token, the bytes that the tokens stand for tell which ids
+    belong to which word."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,18 +84,39 @@ def library_encoder(path: str, ids: bool) -> Pieces:
         # A byte-level token is written with one character for each of its bytes.
         width = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
 
-        def encode(new: list[str]) -> list:
-            out: list = [None] * len(new)
-            joined = [i for i, x in enumerate(new) if len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace()]
-            groups = [joined[k : k + 500] for k in range(0, len(joined), 500)] + [[i] for i in sorted(set(range(len(new))) - set(joined))]
-            for group, e in zip(groups, tokenizer.encode_batch_fast(["".join([new[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        empty = b"" if ids else 0
+        words: dict[str, object] = {}
+
+        def add(new: list[str]) -> None:
+            joined = [x for x in new if x[:1] == " " and not x[1:2].isspace() and not x[-1:].isspace()]
+            groups = [joined[k : k + 500] for k in range(0, len(joined), 500)] + [[x] for x in set(new).difference(joined)]
+            for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
                 found = np.array(e.ids, "<u4")
                 data, begin = found.tobytes(), 0
-                cuts = np.searchsorted(np.cumsum(width[found]), np.cumsum([len(new[i].encode()) for i in group])) + 1 if len(group) > 1 else np.array([len(found)])
-                for i, end in zip(group, cuts.tolist(), strict=True):
-                    out[i] = data[4 * begin : 4 * end] if ids else end - begin
+                cuts = np.searchsorted(np.cumsum(width[found]), np.cumsum([len(x.encode()) for x in group])) + 1 if len(group) > 1 else np.array([len(found)])
+                for x, end in zip(group, cuts.tolist(), strict=True):
+                    words[x] = data[4 * begin : 4 * end] if ids else end - begin
                     begin = end
-            return out
+
+        def encode(new: list[str]) -> list:
+            heads, tails = [], []
+            for x in new:
+                head = x.rstrip(MARKS)
+                if len(head) < len(x) and head and head[-1].isalpha():  # marks after a letter begin a pre-token
+                    heads.append(head)
+                    tails.append(x[len(head) :])
+                else:
+                    heads.append(x)
+                    tails.append("")
+            wanted = {*heads, *tails}
+            unseen = list(wanted - words.keys())
+            if len(words) + len(unseen) > WORDS:
+                words.clear()
+                unseen = list(wanted)
+            add(unseen)
+            words[""] = empty
+            get = words.__getitem__
+            return [get(h) + get(t) if t else get(h) for h, t in zip(heads, tails, strict=True)]
 
         _loaded[path, ids] = Pieces(encode)
     return _loaded[path, ids]
