@@ -166,7 +166,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(pa.array(keep, pa.bool_())), "b": b.column(1).filter(pa.array(keep, pa.bool_()))})
 
-    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    # Texts are never broadcast, however few: the plan is the same at every size.
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")).hint("merge") for c in "ab")
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -190,7 +191,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     best = best.groupBy("p.x").agg(F.min_by("p.y", F.struct(-F.col("near"), F.col("p.y"))).alias("y"))
     first = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     used = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").cast("binary").alias("text")).join(used, "node", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").cast("binary").alias("text")).join(used.hint("merge"), "node", "left_semi")
+    texts = scratch.stored(texts, "texts")
     links = scratch.stored(confirmed(first, texts, width, percent), "links")
     parts = scratch.stored(graph.components(links), "parts")
 
