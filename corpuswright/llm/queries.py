@@ -68,6 +68,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
