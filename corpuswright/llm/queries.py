@@ -31,6 +31,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_and_read(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -62,6 +68,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
@@ -79,4 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import license_scan
+
+    return {"op2_license_scan": license_scan.oracle()}
