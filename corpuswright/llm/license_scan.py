@@ -44,9 +44,25 @@ TEMPLATES = {
 }
 
 
-def _words(text: Column) -> Column:
-    """Lower-cased words, without the marks in and around them."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x20\x09-\x0D]++", ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _cleaned(text: Column) -> Column:
+    """In lower case, without marks in and around words."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x20\x09-\x0D]++", "")
+
+
+def _words(cleaned: Column) -> Column:
+    return F.filter(F.split(cleaned, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def anchors(templates: dict[str, str]) -> str | None:
+    """A pattern that every text holds which shares a shingle with a template: the longest word of each
+    template shingle. Texts without it can't collide in any band, and are passed by."""
+    import re
+
+    found = set()
+    for text in templates.values():
+        w = re.sub(r"[^\w\s]|_", "", text.lower()).split()
+        found |= {max(w[i : i + WIDTH], key=lambda x: (len(x), x)) for i in range(len(w) - WIDTH + 1)}
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(found)) + r")(?![\p{L}\p{N}])" if found else None
 
 
 def _shingles(words: Column) -> Column:
@@ -84,7 +100,7 @@ def _tagged(w: int, k: int):
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """license, shingles (distinct), n, window (of its class). Templates of fewer than WIDTH words have none and match nothing."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    rows = rows.select("license", F.array_distinct(_shingles(_words(F.col("text")))).alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0")
+    rows = rows.select("license", _words(_cleaned(F.col("text"))).alias("words")).select("license", F.array_distinct(_shingles(F.col("words"))).alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0")
     return rows.withColumn("window", reduce(lambda a, w: F.when(F.col("n") >= w, w).otherwise(a), WINDOWS[1:], F.lit(WINDOWS[0])))
 
 
@@ -97,8 +113,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     known = scratch.stored(template_table(spark, templates), "templates")
     keys = _minima(known.withColumnRenamed("window", "class"), ["license", "class"]).where("window = class").select("license", "window", "band", "h").distinct()
     keys = scratch.stored(keys, "keys")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col).cast("string")).alias("words")).where(F.size("words") >= WIDTH)
-    rows = rows.select("doc_id", _shingles(F.col("words")).alias("shingles"))
+    pattern = anchors(templates)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _cleaned(F.col(text_col).cast("string")).alias("cleaned"))
+    rows = rows.where(F.col("cleaned").rlike(pattern) if pattern else F.lit(False))
+    # Written once: what follows is planned on plain columns, not on these expressions repeated.
+    rows = scratch.stored(rows.select("doc_id", _words(F.col("cleaned")).alias("words")), "anchored")
+    rows = scratch.stored(rows.select("doc_id", _shingles(F.col("words")).alias("shingles")), "shingles")
     small = keys.count() <= MOST_BROADCAST
     found = _minima(rows, ["doc_id"]).join(F.broadcast(keys) if small else keys, ["window", "band", "h"]).select("doc_id", "license").distinct()
     found = scratch.stored(found, "retrieved")
