@@ -31,20 +31,27 @@ CHUNK_CHARS = 8_000_000
 #: Words whose codes a worker keeps.
 WORDS = 600_000
 
+#: A row is a token and its position, with the next position and token of its word. best: in each word,
+#: the pair of least rank, leftmost among equals, and what follows its second token.
 RECURSION = """
-WITH RECURSIVE state(w, round, pos, tok) AS (
-    SELECT w, 0, pos, tok FROM bytes
+WITH RECURSIVE state(w, round, pos, nxt, tok, after) AS (
+    SELECT w, 0, pos, pos + 1, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) FROM bytes
   UNION ALL
-    SELECT w, round + 1, pos, CASE WHEN pos = spot THEN fresh ELSE tok END
+    SELECT s.w, s.round + 1, s.pos,
+           CASE WHEN s.pos = best.spot THEN best.nxt ELSE s.nxt END,
+           CASE WHEN s.pos = best.spot THEN best.fresh ELSE s.tok END,
+           CASE WHEN s.pos = best.spot THEN best.after WHEN s.nxt = best.spot THEN best.fresh ELSE s.after END
     FROM (
-        SELECT *, min(key) OVER (PARTITION BY w) & 1048575 AS spot, min(key) OVER (PARTITION BY w) >> 20 AS fresh
+        SELECT pair.*, gone.nxt, gone.after
         FROM (
-            SELECT s.w, s.round, s.pos, s.before, s.tok, (m.new << 20) | s.pos AS key
-            FROM (SELECT *, lead(tok) OVER p AS after, lag(pos) OVER p AS before FROM state WINDOW p AS (PARTITION BY w ORDER BY pos)) s
-            LEFT JOIN merges m ON m.l = s.tok AND m.r = s.after
-        )
-    )
-    WHERE spot IS NOT NULL AND before IS DISTINCT FROM spot
+            SELECT w, (min(key) & 4095)::INT AS spot, (min(key) >> 12 & 4095)::INT AS second, (min(key) >> 24)::INT AS fresh
+            FROM (SELECT p.w, (m.new::BIGINT << 24) | (p.nxt::BIGINT << 12) | p.pos AS key FROM state p JOIN merges m ON m.l = p.tok AND m.r = p.after)
+            GROUP BY w
+        ) pair
+        JOIN state gone ON gone.w = pair.w AND gone.pos = pair.second
+    ) best
+    JOIN state s ON s.w = best.w
+    WHERE s.pos <> best.second
 )
 SELECT w, list(tok ORDER BY pos) AS ids
 FROM state JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w, round)
@@ -72,7 +79,7 @@ class WordEncoder:
         self.ranks = ranks
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        left, right, new = (pa.array(c, pa.int64()) for c in zip(*pairs, strict=True))
+        left, right, new = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
         merges = pa.table({"l": left, "r": right, "new": new})  # noqa: F841  the queries name these tables
         vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS FROM merges")
@@ -82,7 +89,7 @@ class WordEncoder:
         w = [i for i, x in enumerate(words) for _ in x]
         pos = [k for x in words for k in range(len(x))]
         byte = [self.ranks[bytes([v])] for v in range(256)]
-        bytes_ = pa.table({"w": pa.array(w, pa.int64()), "pos": pa.array(pos, pa.int64()), "tok": pa.array([byte[v] for v in b"".join(words)], pa.int64())})
+        bytes_ = pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array([byte[v] for v in b"".join(words)], pa.int32())})
         self.con.register("bytes", bytes_)
         found = self.con.execute(RECURSION).fetchall()
         self.con.unregister("bytes")

@@ -83,9 +83,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     own = texts.select("doc_id", _words(marked(F.col("text"))).alias("own")).dropDuplicates(["doc_id"])
     aligned = F.flatten(F.transform("pairs", lambda p: F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.struct(
         F.concat(F.get("words", p["at"] + k), F.get("raw", p["at"] + k)).alias("value"), F.get("own", p["place"] + k).alias("other"), F.get("words", p["at"] + k).isin("#", "@", "~").alias("slot")))))
-    slots = held.join(with_slots, "item_id").join(own, "doc_id").select("doc_id", "item_id", F.array_distinct(F.filter(aligned, lambda s: s["slot"])).alias("slots"))
-    values = F.array_distinct(F.transform("slots", lambda s: s["value"]))
-    steady = F.size(F.filter(values, lambda v: F.size(F.filter("slots", lambda s: s["value"] == v)) == 1))
+    slots = held.join(with_slots, "item_id").join(own, "doc_id").select("doc_id", "item_id", F.array_distinct(F.filter(aligned, lambda s: s["slot"])).alias("found"))
+    values = F.array_distinct(F.transform("found", lambda s: s["value"]))
+    steady = F.size(F.filter(values, lambda v: F.size(F.filter("found", lambda s: s["value"] == v)) == 1))
     slots = slots.select("doc_id", "item_id", F.size(values).cast("long").alias("slots"), steady.cast("long").alias("consistent"))
     out = held.join(slots, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "windows", "matched", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("consistent", F.lit(0)).cast("long").alias("consistent"))
     return out.where(F.col("consistent") * 100 >= F.col("slots") * PERCENT)
