@@ -147,7 +147,7 @@ def worker(path: str, pattern: str) -> pieces.Pieces:
         def encode(new: list[str]) -> list[tuple[bytes, bytes]]:
             found = [find(x) for x in new]
             distinct = set(chain.from_iterable(found))
-            unseen = list(distinct - words.keys())
+            unseen = [w for w in distinct if w not in words]
             if len(words) + len(unseen) > WORDS:
                 words.clear()
                 unseen = list(distinct)

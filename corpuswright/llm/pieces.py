@@ -36,14 +36,16 @@ class Pieces:
         """The values of each text's pieces, in order."""
         parts = [split(t) for t in texts]
         wanted, known = set().union(*parts), self.known
-        new = list(wanted - known.keys())
+        new = [k for k in wanted if k not in known]
         if len(known) + len(new) > self.most:
             known.clear()
             new = list(wanted)
         if new:
             known.update(zip(new, self.encode([k[1:] if k[:1] == " " else " " + k for k in new]), strict=True))
+        # Each piece comes up several times here: look it up in a table that fits the processor's cache.
+        here = dict(zip(wanted, map(known.__getitem__, wanted), strict=True)).__getitem__
         for p in parts:
-            yield map(known.__getitem__, p)
+            yield map(here, p)
 
 
 def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
@@ -109,7 +111,7 @@ def library_encoder(path: str, ids: bool) -> Pieces:
                     heads.append(x)
                     tails.append("")
             wanted = {*heads, *tails}
-            unseen = list(wanted - words.keys())
+            unseen = [w for w in wanted if w not in words]
             if len(words) + len(unseen) > WORDS:
                 words.clear()
                 unseen = list(wanted)
