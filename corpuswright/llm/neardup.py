@@ -207,3 +207,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     out = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hi")).alias("set_hi"), "set_lo").join(placed, ["set_hi", "set_lo"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs of which one stands for each component, with all their columns.
+
+    Rows with a null doc_id stay. Rows that repeat both doc_id and text are one document, of which one row stays."""
+    found = scratch.stored(near_duplicates(docs, width, percent).select("doc_id", "kept"), "kept")
+    # Neither list is ever broadcast unless the engine finds it small.
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    again = found.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long") == F.col("__again")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

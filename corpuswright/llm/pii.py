@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+#: Of the columns that this module adds to a table for a while.
+PREFIX = "__pii_"
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -107,17 +109,21 @@ def _described(text: Column, x: Column) -> Column:
 _CANDIDATE = "array<struct<start:int,end:int," + ",".join(f"{f}:int" for f in FEATURES) + ">>"
 
 
+def _span_exprs(text: Column) -> list[Column]:
+    """Each kind's base matches (start, end, ok), and candidates with their features."""
+    some = lambda sign, pattern: F.when(text.rlike(sign), F.transform(_matches(text, pattern), lambda x: _described(text, x))).otherwise(F.array().cast(_CANDIDATE))
+    offered = F.concat(some("@", AROUND_AT), some(r"(?i)[(\[{] ?dot ?[)\]}]", SPELT_AT), F.filter(some("[0-9]", DIGITS), lambda c: c["digits"] >= 7))
+    return [
+        _base(text, "email", EMAIL, "@").alias(PREFIX + "email"), _base(text, "ip", IP, r"[0-9]\.[0-9]").alias(PREFIX + "ip"),
+        _base(text, "card", CARD, "[0-9][ -]?[0-9]").alias(PREFIX + "card"), _base(text, "phone", PHONE, r"\+[0-9]").alias(PREFIX + "phone"), offered.alias(PREFIX + "offered"),
+    ]
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, each kind's base matches (start, end, ok), and candidates with their features."""
+    """doc_id with the columns of _span_exprs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    text = F.col("text")
-    some = lambda sign, pattern: F.when(text.rlike(sign), F.transform(_matches(text, pattern), lambda x: _described(text, x))).otherwise(F.array().cast(_CANDIDATE))
-    offered = F.concat(some("@", AROUND_AT), some(r"(?i)[(\[{] ?dot ?[)\]}]", SPELT_AT), F.filter(some("[0-9]", DIGITS), lambda c: c["digits"] >= 7))
-    return rows.select(
-        "doc_id", _base(text, "email", EMAIL, "@").alias("email"), _base(text, "ip", IP, r"[0-9]\.[0-9]").alias("ip"),
-        _base(text, "card", CARD, "[0-9][ -]?[0-9]").alias("card"), _base(text, "phone", PHONE, r"\+[0-9]").alias("phone"), offered.alias("offered"),
-    )
+    return rows.select("doc_id", *_span_exprs(F.col("text")))
 
 
 def _over(c: Column, spans: Column, ok: bool) -> Column:
@@ -129,14 +135,20 @@ def _kind(c: Column) -> Column:
     return F.when(c["at"] == 1, 0).when(c["quad"] == 1, 1).when(c["digits"] >= 16, 2).otherwise(3)
 
 
-def _any(f) -> Column:
-    return f("email") | f("ip") | f("card") | f("phone")
+def _passing(kind: str) -> Column:
+    return F.filter(PREFIX + kind, lambda s: s["ok"])
+
+
+def _over_any(c: Column, ok: bool) -> Column:
+    email, ip, card, phone = (_over(c, F.col(PREFIX + k), ok) for k in KINDS)
+    return email | ip | card | phone
 
 
 def counted(found: DataFrame) -> list[dict]:
     """Feature vectors of labelled candidates, with their counts: pos and neg."""
-    c = F.explode(F.transform("offered", lambda c: F.struct(c.alias("c"), _kind(c).alias("kind"), _any(lambda k: _over(c, F.col(k), True)).alias("good"), _any(lambda k: _over(c, F.col(k), False)).alias("bad")))).alias("x")
-    rows = found.where(F.size("offered") > 0).select(c).where("x.good OR x.bad")
+    offered = PREFIX + "offered"
+    c = F.explode(F.transform(offered, lambda c: F.struct(c.alias("c"), _kind(c).alias("kind"), _over_any(c, True).alias("good"), _over_any(c, False).alias("bad")))).alias("x")
+    rows = found.where(F.size(offered) > 0).select(c).where("x.good OR x.bad")
     sums = rows.groupBy("x.kind", *[F.col(f"x.c.{f}").alias(f) for f in FEATURES]).agg(F.sum(F.col("x.good").cast("long")).alias("pos"), F.sum((~F.col("x.good")).cast("long")).alias("neg"))
     return [r.asDict() for r in sums.orderBy(F.desc(F.col("pos") + F.col("neg")), "kind", *FEATURES).limit(MOST_VECTORS).collect()]
 
@@ -210,25 +222,30 @@ def _written(kind: Column | str, s: Column) -> Column:
     return F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))
 
 
+def _added(model) -> Column:
+    """array<struct<kind,start,end>>: candidates that the trees select and that overlap no base span."""
+    limits = model[1] if model else []
+    usable = [k for k, x in enumerate(limits) if math.isfinite(x)]
+    if not usable:
+        return F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    trees = model[0]
+    margin = lambda c: sum((_expression(t, c) for t in trees[1:]), _expression(trees[0], c))
+    # Each candidate's margin is computed once.
+    rated = F.transform(PREFIX + "offered", lambda c: F.struct(_kind(c).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), margin(c).alias("margin")))
+    high = lambda r: F.coalesce(*[F.when(r["kind"] == k, r["margin"] >= limits[k] - 1e-9) for k in usable], F.lit(False))
+    new = F.filter(rated, lambda r: high(r) & ~_over_any(r, True))
+    return F.array_distinct(F.transform(new, lambda r: F.struct(r["kind"].alias("kind"), r["start"].alias("start"), r["end"].alias("end"))))
+
+
 def _each(kind: str, f) -> Column:
-    """f(kind, its number, span) of each span of a kind's column."""
-    return F.transform(kind, lambda s: f(kind, KINDS.index(kind), s))
+    """f(kind, its number, span) of each base span of a kind."""
+    return F.transform(_passing(kind), lambda s: f(kind, KINDS.index(kind), s))
 
 
-def _span_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, each kind's passing base spans, and added: kind (number), start, end."""
-    found = scratch.stored(candidates(docs, id_col, text_col), "candidates")
-    model = fit(counted(found))
-    if model:
-        trees, limits = model
-        usable = [k for k, x in enumerate(limits) if math.isfinite(x)]
-        margin = lambda c: sum((_expression(t, c) for t in trees[1:]), _expression(trees[0], c))
-        high = lambda c, m: F.coalesce(*[F.when(_kind(c) == k, m >= limits[k] - 1e-9) for k in usable], F.lit(False)) if usable else F.lit(False)
-        new = F.filter("offered", lambda c: ~_any(lambda k: _over(c, F.col(k), True)) & high(c, margin(c)))
-        added = F.array_sort(F.array_distinct(F.transform(new, lambda c: F.struct(_kind(c).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))
-    else:
-        added = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return found.select("doc_id", *[F.filter(k, lambda s: s["ok"]).alias(k) for k in KINDS], added.alias("added"))
+def _all_spans(model) -> Column:
+    """Base and added spans, by kind as listed, then start."""
+    base = [_each(k, lambda k, i, s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]
+    return F.array_sort(F.concat(*base, _added(model)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,11 +253,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     A null text counts as empty: no spans. Rows that repeat a doc_id stay apart. Other columns are
     ignored. An empty table gives no rows."""
-    spans = _span_columns(docs, id_col, text_col)
+    found = scratch.stored(candidates(docs, id_col, text_col), "candidates")
     base = F.concat(*[_each(k, lambda k, i, s: _written(k, s)) for k in KINDS])
-    all_spans = F.concat(*[_each(k, lambda k, i, s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS], "added")
     name = F.array(*[F.lit(k) for k in KINDS])
-    return spans.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.transform(F.array_sort(all_spans), lambda s: _written(F.get(name, s["kind"]), s)), ",").alias("spans"),
+    return found.select(
+        "doc_id", *[F.size(_passing(k)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform(_all_spans(fit(counted(found))), lambda s: _written(F.get(name, s["kind"]), s)), ",").alias("spans"),
     )
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span of text replaced by its kind in brackets, and n_chars (where there is such a
+    column) counted anew. Overlapping spans become one, of the kind that starts first. All other
+    columns and all rows stay; a null text stays null."""
+    model = fit(counted(scratch.stored(candidates(docs), "candidates")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    spans, name = PREFIX + "spans", F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    rows = docs.select("*", *_span_exprs(text)).withColumn(spans, F.array_sort(F.transform(_all_spans(model), lambda s: F.struct(s["start"], s["end"], s["kind"]))))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    step = lambda acc, s: F.when(s["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(
+        F.struct(s["end"].alias("pos"), F.array_append(acc["out"], F.concat(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.get(name, s["kind"]))).alias("out")))
+    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text)))
+    new = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(F.col("text").cast("string"))
+    rows = rows.withColumn("text", new)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
