@@ -1,13 +1,49 @@
-"""From raw documents to encoded ones, one operator a stage."""
+"""From raw documents to encoded ones, one operator a stage.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that the stage before it kept. All but the last
+return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuswright.llm import scratch
+from corpuswright.llm import bpe, decontam, neardup, pii, quality, queries, scratch
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays."""
+    return neardup.one_of_each(docs, width=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind; no document goes."""
+    return pii.redact(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as ids, and back."""
+    return bpe.encode_and_decode(docs, queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), queries.tokenizer_pattern())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", personal_data_stage),
+    ("encoding", encoding_stage),
+]
 
+#: Trained trees, hashes and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
