@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,15 +209,14 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject, with all their columns."""
     text = F.col("text").cast("string").cast("binary")
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE numbers, whatever the input
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only texts go to the workers, and only scores come back; the rows themselves stay where they are.
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets, m = {}, shared.value
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                x = np.stack([features((v or "").encode(), buckets) for v in part.column(at).to_pylist()])
-                yield part.filter(pa.array(m.score(x) >= THRESHOLD))
+        for texts in batches:
+            out = [m.score(np.stack([features(v or b"", buckets) for v in texts.iloc[k : k + 1000]])) for k in range(0, len(texts), 1000)]
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(text) >= THRESHOLD)
