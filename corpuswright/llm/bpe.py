@@ -19,6 +19,7 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ GROUP BY w
 
 DECODE = """
 SELECT w, string_agg(v.hex, '' ORDER BY i) AS hex
-FROM (SELECT w, unnest(ids) AS tok, generate_subscripts(ids, 1) AS i FROM encoded) JOIN vocabulary v USING (tok)
+FROM encoded JOIN vocabulary v USING (tok)
 GROUP BY w
 """
 
@@ -77,23 +78,28 @@ class WordEncoder:
         import duckdb
 
         self.ranks = ranks
+        self.byte = np.array([ranks[bytes([v])] for v in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, new = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
         merges = pa.table({"l": left, "r": right, "new": new})  # noqa: F841  the queries name these tables
-        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})  # noqa: F841
+        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS FROM vocabulary")
 
-    def _recursive(self, words: list[bytes]) -> dict[int, list[int]]:
-        w = [i for i, x in enumerate(words) for _ in x]
-        pos = [k for x in words for k in range(len(x))]
-        byte = [self.ranks[bytes([v])] for v in range(256)]
-        bytes_ = pa.table({"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array([byte[v] for v in b"".join(words)], pa.int32())})
-        self.con.register("bytes", bytes_)
-        found = self.con.execute(RECURSION).fetchall()
+    def _recursive(self, words: list[bytes]) -> list[np.ndarray]:
+        sizes = np.fromiter(map(len, words), np.int32, len(words))
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
+        self.con.register("bytes", pa.table({"w": w, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]}))
+        found = self.con.sql(RECURSION).to_arrow_table()
         self.con.unregister("bytes")
-        return dict(found)
+        ids = found.column("ids").combine_chunks()
+        flat, cuts = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+        out: list = [None] * len(words)
+        for k, (i, j) in zip(found.column("w").to_pylist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True):
+            out[k] = flat[i:j]
+        return out
 
     def _linked(self, word: bytes) -> list[int]:
         """The same contractions for one long word: least rank first, leftmost among equals."""
@@ -116,21 +122,27 @@ class WordEncoder:
                     heapq.heappush(heap, (r, a))
         return [t for t, x in zip(tok, text, strict=True) if x is not None]
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
+    def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of distinct words. A word that is itself in the vocabulary is its id."""
-        out: list = [[r] if (r := self.ranks.get(x)) is not None else [] if not x else self._linked(x) if len(x) > LONG_WORD else None for x in words]
+        out: list = [np.array([r], np.int32) if (r := self.ranks.get(x)) is not None else np.zeros(0, np.int32) if not x else np.array(self._linked(x), np.int32) if len(x) > LONG_WORD else None for x in words]
         todo = [i for i, x in enumerate(out) if x is None]
         if todo:
-            for k, ids in self._recursive([words[i] for i in todo]).items():
-                out[todo[k]] = ids
+            for i, ids in zip(todo, self._recursive([words[i] for i in todo]), strict=True):
+                out[i] = ids
         return out
 
-    def decode(self, encoded: list[list[int]]) -> list[bytes]:
+    def decode(self, encoded: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids, by ordered aggregation."""
-        self.con.register("encoded", pa.table({"w": pa.array(range(len(encoded)), pa.int64()), "ids": pa.array(encoded, pa.list_(pa.int64()))}))
-        found = dict(self.con.execute(DECODE).fetchall())
+        sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
+        flat = np.concatenate(encoded).astype(np.int32) if encoded else np.zeros(0, np.int32)
+        w = np.repeat(np.arange(len(encoded), dtype=np.int32), sizes)
+        self.con.register("encoded", pa.table({"w": w, "i": np.arange(len(w), dtype=np.int64), "tok": flat}))
+        found = self.con.sql(DECODE).to_arrow_table()
         self.con.unregister("encoded")
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(encoded))]
+        out = [b""] * len(encoded)
+        for k, x in zip(found.column("w").to_pylist(), found.column("hex").to_pylist(), strict=True):
+            out[k] = bytes.fromhex(x)
+        return out
 
 
 _workers: dict = {}
@@ -144,18 +156,20 @@ def worker(path: str, pattern: str) -> pieces.Pieces:
         find, coder = regex.compile(pattern).findall, WordEncoder(read_ranks(path))
         words: dict[str, tuple[bytes, bytes]] = {}
 
-        def encode(new: list[str]) -> list[tuple[bytes, bytes]]:
+        def encode(new: list[str]) -> tuple[list[tuple[bytes, bytes]], list[bool]]:
             found = [find(x) for x in new]
             distinct = set(chain.from_iterable(found))
             unseen = [w for w in distinct if w not in words]
             if len(words) + len(unseen) > WORDS:
                 words.clear()
                 unseen = list(distinct)
+            rare = set(unseen)
             ids = coder.encode([w.encode() for w in unseen])
-            words.update(zip(unseen, zip([b"".join([i.to_bytes(4, "little") for i in x]) for x in ids], coder.decode(ids), strict=True), strict=True))
-            return [words[w[0]] if len(w) == 1 else (b"".join([words[x][0] for x in w]), b"".join([words[x][1] for x in w])) for w in found]
+            words.update(zip(unseen, zip([x.astype("<u4").tobytes() for x in ids], coder.decode(ids), strict=True), strict=True))
+            values = [words[w[0]] if len(w) == 1 else (b"".join([words[x][0] for x in w]), b"".join([words[x][1] for x in w])) for w in found]
+            return values, [rare.isdisjoint(w) for w in found]
 
-        _workers[path, pattern] = pieces.Pieces(encode, 250_000)
+        _workers[path, pattern] = pieces.Pieces(encode, 300_000)
     return _workers[path, pattern]
 
 

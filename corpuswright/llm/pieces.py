@@ -24,10 +24,11 @@ def split(text: str) -> list[str]:
 
 
 class Pieces:
-    """encode(pieces) -> one value for each, called with distinct unseen pieces.
-    most: entries kept; the cache starts anew beyond that."""
+    """encode(pieces) -> for each, its value and whether it is worth keeping; called with distinct unseen pieces.
+    most: entries kept; the cache starts anew beyond that. Most pieces of natural text never come
+    again, so that an encoder keeps one only when it has met its word before."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[list, list[bool]]], most: int = 500_000):
         self.encode, self.most, self.known = encode, most, {}
         # Millions of strings come and go here, and no cycles: seldom look for those.
         gc.set_threshold(200_000, 50, 100)
@@ -36,16 +37,18 @@ class Pieces:
         """The values of each text's pieces, in order."""
         parts = [split(t) for t in texts]
         wanted, known = set().union(*parts), self.known
-        new = [k for k in wanted if k not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(wanted)
+        # Each piece comes up several times here: they are looked up in a table that fits the processor's cache.
+        here = {k: known[k] for k in wanted if k in known}
+        new = [k for k in wanted if k not in here]
         if new:
-            known.update(zip(new, self.encode([k[1:] if k[:1] == " " else " " + k for k in new]), strict=True))
-        # Each piece comes up several times here: look it up in a table that fits the processor's cache.
-        here = dict(zip(wanted, map(known.__getitem__, wanted), strict=True)).__getitem__
+            values, keep = self.encode([k[1:] if k[:1] == " " else " " + k for k in new])
+            here.update(zip(new, values, strict=True))
+            if len(known) + len(new) > self.most:
+                known.clear()
+            known.update(x for x, k in zip(zip(new, values, strict=True), keep, strict=True) if k)
+        find = here.__getitem__
         for p in parts:
-            yield map(here, p)
+            yield map(find, p)
 
 
 def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
@@ -63,7 +66,7 @@ def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
 #: Characters that are neither letters, numbers nor white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pre-tokens whose codes a worker keeps.
-WORDS = 500_000
+WORDS = 700_000
 _loaded: dict = {}
 
 
@@ -90,7 +93,7 @@ def library_encoder(path: str, ids: bool) -> Pieces:
         words: dict[str, object] = {}
 
         def add(new: list[str]) -> None:
-            joined = [x for x in new if x[:1] == " " and not x[1:2].isspace() and not x[-1:].isspace()]
+            joined = [x for x in new if x[:1] == " " and x.strip() == x[1:] and len(x) > 1]
             groups = [joined[k : k + 500] for k in range(0, len(joined), 500)] + [[x] for x in set(new).difference(joined)]
             for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
                 found = np.array(e.ids, "<u4")
@@ -100,7 +103,7 @@ def library_encoder(path: str, ids: bool) -> Pieces:
                     words[x] = data[4 * begin : 4 * end] if ids else end - begin
                     begin = end
 
-        def encode(new: list[str]) -> list:
+        def encode(new: list[str]) -> tuple[list, list[bool]]:
             heads, tails = [], []
             for x in new:
                 head = x.rstrip(MARKS)
@@ -111,14 +114,14 @@ def library_encoder(path: str, ids: bool) -> Pieces:
                     heads.append(x)
                     tails.append("")
             wanted = {*heads, *tails}
-            unseen = [w for w in wanted if w not in words]
+            unseen = {w for w in wanted if w not in words}
             if len(words) + len(unseen) > WORDS:
                 words.clear()
-                unseen = list(wanted)
-            add(unseen)
+                unseen = wanted
+            add(list(unseen))
             words[""] = empty
             get = words.__getitem__
-            return [get(h) + get(t) if t else get(h) for h, t in zip(heads, tails, strict=True)]
+            return [get(h) + get(t) if t else get(h) for h, t in zip(heads, tails, strict=True)], [h not in unseen for h in heads]
 
         _loaded[path, ids] = Pieces(encode)
     return _loaded[path, ids]

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from . import pieces
 
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 #: Lengths in one bucket of the two-level suffix sums.
 BUCKET = 1024
 

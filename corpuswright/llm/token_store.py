@@ -31,7 +31,7 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1_000_000
 #: Characters encoded at a time by a worker.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 SEGMENTS = "segment long, part int, n_docs int, n_tokens long, image binary"
 
