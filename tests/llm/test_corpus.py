@@ -1,0 +1,201 @@
+"""Operators over documents, against brute force."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from corpuswright.llm import decontam, graph, license_scan, neardup, pii, quality, shards
+
+from .helpers import TEXTS, base_spans, components, frame
+
+
+def words(rng, n, vocabulary=400):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def near_corpus(seed, copies=40):
+    """Groups of copies, chains of edits, one dense group, a shared passage, and strangers."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(12):
+        base = words(rng, rng.choice((8, 40, 120)))
+        texts += [base] * rng.choice((1, 2, 5))
+        for _ in range(rng.randrange(4)):
+            base = list(base)
+            for _ in range(max(1, len(base) // rng.choice((10, 25, 60)))):
+                base[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+            texts.append(base)
+    dense, passage = words(rng, 100), words(rng, 50)
+    texts += [[w if rng.random() > 0.02 else f"y{rng.randrange(10**6)}" for w in dense] for _ in range(copies)]
+    texts += [passage + words(rng, 30) for _ in range(copies)] + [words(rng, 30) for _ in range(20)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("seed", "width"), [(1, 2), (2, 5)])
+def test_near_duplicates_match_brute_force(spark, seed, width):
+    texts = near_corpus(seed)
+    got = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, texts), width=width).collect()}
+    want = components(texts, width)
+    assert got == {i: (c, c == i) for i, c in want.items()}
+
+
+def test_near_duplicates_edges(spark):
+    df = frame(spark)
+    got = neardup.near_duplicates(df, width=2).collect()
+    assert len(got) == len(TEXTS) and Counter((r.doc_id, r.component_id) for r in got)[(5, 1)] == 1
+    assert {r.component_id for r in got if r.doc_id is None} == {None} and all(r.kept for r in got if r.doc_id in (None, 2, 3, 4))
+    assert {r.doc_id: r.n_shingles for r in got}[6] == 1 and {r.doc_id: r.n_shingles for r in got}[2] == 0
+    kept = neardup.one_of_each(df).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [1, 2, 3, 4, 6, 7, 8, 9, 10, None])) and len(kept[0]) == len(df.columns)
+    assert neardup.near_duplicates(df.limit(0)).count() == 0 and neardup.one_of_each(df.limit(0)).count() == 0
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 240)] + [(7, 7), (200, 201)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {i: 200 for i in range(200, 240)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("hot", (0, 400))
+def test_shards_are_even(spark, hot):
+    rng = random.Random(hot)
+    texts = [(i, rng.choice(("hot", f"t{i}", f"g{i % 40}")) if i >= hot else "hot") for i in range(700)]
+    got = shards.balanced_shards(frame(spark, texts), shards=7).collect()
+    counts = Counter(r.shard for r in got)
+    assert sorted(r.doc_id for r in got) == list(range(700)) and max(counts.values()) - min(counts.values()) <= 1 and set(counts) <= set(range(7))
+    assert all(sorted(r.slot for r in got if r["shard"] == s) == list(range(n)) for s, n in counts.items())
+    spread = {}
+    for r in got:
+        spread.setdefault(texts[r.doc_id][1], set()).add(r["shard"])
+    n = Counter(t for _, t in texts)
+    # A group that fits into a shard is seldom cut; a larger one fills no more shards than it must, and one more.
+    assert sum(len(v) > 1 for t, v in spread.items() if n[t] < 50) <= 7
+
+
+def test_shards_edges(spark):
+    df = frame(spark)
+    got = shards.balanced_shards(df, shards=5).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in TEXTS) and all(r["size"] == len((dict(TEXTS)[r.doc_id] or "").encode()) + 16 for r in got if r.doc_id)
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None} and shards.balanced_shards(df.limit(0)).count() == 0
+    again = shards.balanced_shards(df.repartition(3), shards=5).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def quality_data(n=900):
+    rng = random.Random(11)
+    texts, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.8
+        w = words(rng, rng.randint(20, 80))
+        texts.append((i, " ".join(w) + "." if good else " ".join(x + rng.choice(("$$$", "###", " |")) for x in w)))
+        if rng.random() < 0.6:
+            labels.append((i, int(good), 0))
+    return texts, labels
+
+
+def test_quality_on_held_out_rows(spark):
+    texts, labels = quality_data()
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality_scores(frame(spark, texts), known).collect()}
+    out = [(got[i].predicted, q) for i, q, _ in labels if got[i].held_out]
+    assert len(out) > 50 and np.mean([p == q for p, q in out]) > 0.97
+    # What held-out labels say changes nothing.
+    flipped = spark.createDataFrame([(i, 1 - q if got[i].held_out else q, t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.score for r in quality.quality_scores(frame(spark, texts), flipped).collect()} == {i: r.score for i, r in got.items()}
+    kept = {r.doc_id for r in quality.keep_good(frame(spark, texts), known).collect()}
+    assert kept == {i for i, r in got.items() if r.predicted}
+
+
+def test_quality_edges(spark):
+    df = frame(spark)
+    known = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.quality_scores(df, known).collect()
+    assert len(got) == len(TEXTS) and {r.score for r in got} == {0.5} and not next(r for r in got if r.doc_id is None).held_out
+    some = spark.createDataFrame([(6, 1, 0), (7, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in quality.quality_scores(df, some).collect()) and quality.quality_scores(df.limit(0), some).count() == 0
+    assert quality.keep_good(df, some.limit(0)).count() == len(TEXTS)
+
+
+def test_nnpu_never_overfits_the_negative_part():
+    rng = np.random.default_rng(1)
+    p, n = rng.normal(2, 1, (300, 3)), rng.normal(-2, 1, (300, 3))
+    u = np.concatenate([rng.normal(2, 1, (150, 3)), n[:150]])
+    m = quality.fit_nnpu(p, u, 0.5)
+    assert (m.margin(p) > 0).mean() > 0.95 and (m.margin(n) < 0).mean() > 0.95
+
+
+def test_personal_data_matches_plain_patterns(spark):
+    rng = random.Random(4)
+    bits = ["a@b.co", "x.y@z", "@", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "+1 (233) 555-1234", "+12", "4111 1111 1111 1111", "4111-1111-1111-1112", "12", "é", " ", "-", ".", "_", "+", "text", "a.b@c.d_e@f.g", "١", "0" * 30]
+    texts = [(i, "".join(rng.choice(bits) + rng.choice(("", " ", "x")) for _ in range(rng.randint(0, 12)))) for i in range(300)] + [(1000 + k, t) for k, (_, t) in enumerate(TEXTS)]
+    for r in pii.find(frame(spark, texts)).collect():
+        want = base_spans(dict(texts)[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), dict(texts)[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in ("email", "ip", "card", "phone")]
+        assert set(want) <= set(r.spans.split(",")) | ({""} if not want else set())
+    assert pii.find(frame(spark).limit(0)).count() == 0
+
+
+def test_boosted_trees_split_weak_labels():
+    blank = dict.fromkeys(pii.FEATURES, 0)
+    vectors = [blank | {"kind": 2, "digits": 16, "luhn": 1, "pos": 90, "neg": 0}, blank | {"kind": 2, "digits": 16, "luhn": 0, "pos": 0, "neg": 900}, blank | {"kind": 3, "digits": 10, "plus": 1, "pos": 50, "neg": 1}]
+    trees, limits = pii.fit(vectors)
+    margin = [sum(pii._value(t, v) for t in trees) for v in vectors]
+    assert margin[0] >= limits[2] > margin[1] and margin[2] >= limits[3] and pii.fit(vectors[:1]) is None
+
+
+def test_redaction(spark):
+    df = frame(spark, [(1, "to a@b.co, +1 (233) 555-1234!"), (2, None), (3, "clean"), (4, "é a@b.co")])
+    got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(df).collect()}
+    assert got == {1: ("to [EMAIL], [PHONE]!", 20), 2: (None, 0), 3: ("clean", 5), 4: ("é [EMAIL]", 9)} and pii.redact(df).columns == df.columns
+
+
+def test_decontamination(spark):
+    items = [(1, "How far does a train go in 3 hours at 60 km per hour when Anna rides it and leaves at 3"), (2, "too short"), (3, None), (4, "one plain passage of a dozen words that all stand in this order")]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    docs = [
+        (10, "Intro words here. " + items[0][1] + ". And more text."), (11, "how far does a train go in 7 hours at 90 miles per hour when Maria rides it and leaves at 7"),
+        (12, "how far does a train go in 7 hours at 90 km per hour when Paul rides it and leaves at 8"), (13, "One plain passage, of a dozen words (that all stand in this order)!"),
+        (14, "one plain passage of a different kind"), (15, None), (16, ""), (17, "too short"), (None, items[3][1]),
+    ]
+    got = {(r.doc_id, r.item_id): (r.slots, r.consistent) for r in decontam.matches(frame(spark, docs), bench).collect()}
+    assert set(got) >= {(10, 1), (13, 4), (None, 4)} and not {d for d, _ in got} & {14, 15, 16, 17}
+    # 7 and 8 stand where the item repeats 3.
+    assert (12, 1) not in got or got[12, 1][0] > got[12, 1][1]
+    assert {r.doc_id for r in decontam.contaminated(frame(spark, docs), bench).collect()} == {d for d, _ in got}
+    left = decontam.clean(frame(spark, docs), bench)
+    assert left.columns == frame(spark).columns and {14, 15, 16, 17} <= {r.doc_id for r in left.collect()} and not {10, 13} & {r.doc_id for r in left.collect()}
+    assert decontam.matches(frame(spark).limit(0), bench).count() == 0 and decontam.matches(frame(spark), bench.limit(0)).count() == 0
+
+
+def test_licence_scan_matches_exact_containment(spark):
+    notice = license_scan.TEMPLATES["BSD-notice"]
+    docs = [(1, "Code.\nReleased under the MIT License.\nMore"), (2, "x " + notice.upper() + " y"), (3, notice.replace("permitted", "allowed")), (4, "Licensed under something else"), (5, None), (6, ""), (7, "z " * 20_000 + "licensed under the apache license version 20")]
+    import duckdb
+    import pandas as pd
+
+    got = sorted((r.doc_id, r.license, r.matched, r.template_shingles) for r in license_scan.scan(frame(spark, docs)).collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    assert got == sorted(con.sql(license_scan.oracle()).fetchall()) and {(1, "MIT"), (2, "BSD-notice"), (7, "Apache-2.0")} <= {g[:2] for g in got}
+    assert license_scan.scan(frame(spark).limit(0)).count() == 0 and license_scan.scan(frame(spark, docs), {}).count() == 0
+
+
+def test_pipeline_runs_its_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    texts, labels = quality_data(300)
+    texts += [(1000, texts[0][1]), (1001, "How far does a train go in 3 hours at 60 km per hour when nobody rides it home"), (1002, "plain words and a@b.co to write to for more of them")]
+    frame(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, texts[-2][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "encoding"]
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 1001 not in got and len({0, 1000} & set(got)) <= 1 and len(got) == len(set(got))
+    if 1002 in got:
+        assert got[1002].decoded_sha256 == hashlib.sha256(b"plain words and [EMAIL] to write to for more of them").hexdigest()
