@@ -40,10 +40,23 @@ def content_hash(text: Column, n: int = 512) -> Column:
     return F.md5(F.concat_ws("|", F.left(text, F.lit(n)), F.right(text, F.lit(n)), F.length(text).cast("string")).cast("binary"))
 
 
-@F.pandas_udf("double")
-def compression_ratio(text: pd.Series) -> pd.Series:
+def _mapped(f: Callable, kind: str) -> Callable[[Column], Column]:
+    """f over each value of a column, in Arrow batches."""
+
+    def over(x: pd.Series) -> pd.Series:
+        return x.map(f)
+
+    over.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return lambda c: F.pandas_udf(over, kind)(c)
+
+
+def _ratio(t: str | None) -> float:
+    return len(zlib.compress(b)) / len(b) if t and (b := t.encode()) else 0.0
+
+
+def compression_ratio(text: Column) -> Column:
     """Deflated size over size; 0 for no text."""
-    return text.map(lambda t: len(zlib.compress(b)) / len(b) if t and (b := t.encode()) else 0.0).astype("float64")
+    return _mapped(_ratio, "double")(text)
 
 
 def netloc(url: Column) -> Column:
@@ -52,9 +65,14 @@ def netloc(url: Column) -> Column:
 
 def _shingles(items: Column, width: int, glue: str) -> Column:
     """Runs of width items; all of them as one if they are fewer; none of none."""
-    n = F.size(items)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(items, i, F.lit(width)), glue))
-    return F.when(n >= width, many).when(n > 0, F.array(F.array_join(items, glue))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(width)), glue))
+        return F.when(n >= width, many).when(n > 0, F.array(F.array_join(w, glue))).otherwise(F.array().cast("array<string>"))
+
+    # Bound to a variable of its own, items are made once and not again for every run.
+    return F.get(F.transform(F.array(items), runs), 0)
 
 
 def word_shingles(text: Column, width: int = 13) -> Column:
@@ -168,16 +186,14 @@ def _prose(sections: list | None) -> str:
     return "\n".join(blocks)
 
 
-@F.pandas_udf("string")
-def infobox_json(infobox: pd.Series) -> pd.Series:
+def infobox_json(infobox: Column) -> Column:
     """A JSON infobox as one flat JSON object, of which a repeated name's last value stays; null if it has no field."""
-    return infobox.map(lambda x: json.dumps(dict(f), ensure_ascii=False) if x and (f := _fields(json.loads(x).get("has_parts"), 1)) else None)
+    return _mapped(lambda x: json.dumps(dict(f), ensure_ascii=False) if x and (f := _fields(json.loads(x).get("has_parts"), 1)) else None, "string")(infobox)
 
 
-@F.pandas_udf("string")
-def sections_text(sections: pd.Series) -> pd.Series:
+def sections_text(sections: Column) -> Column:
     """A JSON section tree of any depth as prose."""
-    return sections.map(lambda x: _prose(json.loads(x)) or None if x else None)
+    return _mapped(lambda x: _prose(json.loads(x)) or None if x else None, "string")(sections)
 
 
 def article(name: Column, description: Column, infoboxes: Column, abstract: Column, sections: Column) -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import constants as C
 from .functions import scores, text
@@ -119,11 +118,7 @@ def scan_pushdown_source(spark, d):
 
 @query("SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 50 AS BIGINT) AS turn FROM documents")
 def scan_interleaved_lang(spark, d):
-    return readers_interleaved(_docs(spark, d).select("doc_id", "lang"))
-
-
-def readers_interleaved(df: DataFrame) -> DataFrame:
-    return selection.interleaved(df, "lang", 50)
+    return selection.interleaved(_docs(spark, d).select("doc_id", "lang"), "lang", 50)
 
 
 @query("SELECT doc_id AS id, text AS body, lang FROM documents UNION ALL SELECT page_id, html, NULL FROM pages")
