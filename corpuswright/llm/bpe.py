@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,9 +29,9 @@ from . import pieces
 
 LONG_WORD = 400
 #: Characters encoded at a time by a worker: one recursive query each.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 3_000_000
 #: Words whose codes a worker keeps.
-WORDS = 600_000
+WORDS = 400_000
 
 #: A row is a token and its position, with the next position and token of its word. best: in each word,
 #: the pair of least rank, leftmost among equals, and what follows its second token.
@@ -79,7 +80,7 @@ class WordEncoder:
 
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([v])] for v in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": tempfile.mkdtemp()})
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, new = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
         merges = pa.table({"l": left, "r": right, "new": new})  # noqa: F841  the queries name these tables
@@ -169,7 +170,7 @@ def worker(path: str, pattern: str) -> pieces.Pieces:
             values = [words[w[0]] if len(w) == 1 else (b"".join([words[x][0] for x in w]), b"".join([words[x][1] for x in w])) for w in found]
             return values, [rare.isdisjoint(w) for w in found]
 
-        _workers[path, pattern] = pieces.Pieces(encode, 300_000)
+        _workers[path, pattern] = pieces.Pieces(encode, 200_000)
     return _workers[path, pattern]
 
 
