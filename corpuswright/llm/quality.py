@@ -54,7 +54,7 @@ def features(text: bytes, buckets: dict[bytes, int]) -> np.ndarray:
     out[STYLE : STYLE + len(SINGLE)] = hist[_SINGLE] * 10
     if words:
         ids = [b if (b := buckets.get(x)) is not None else buckets.setdefault(x, xxhash.xxh32_intdigest(x) % WORD_BUCKETS) for x in words]
-        if len(buckets) > 300_000:
+        if len(buckets) > 50_000:
             buckets.clear()
         out[STYLE + len(SINGLE) :] = np.sqrt(np.bincount(ids, minlength=WORD_BUCKETS) / w)
     return out
@@ -216,7 +216,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets, m = {}, shared.value
         for texts in batches:
-            out = [m.score(np.stack([features(v or b"", buckets) for v in texts.iloc[k : k + 1000]])) for k in range(0, len(texts), 1000)]
+            out = [m.score(np.stack([features(v or b"", buckets) for v in texts.iloc[k : k + 250]])) for k in range(0, len(texts), 250)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.where(score(text) >= THRESHOLD)
