@@ -138,7 +138,7 @@ class Segment:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments of all documents in ascending doc_id order (null first; then by text).
+    """Segments of all documents in ascending doc_id order (null first; then by a hash of the text).
 
     A null text counts as empty; rows that repeat a doc_id stay apart; an empty table gives no
     segments; other columns are ignored. end_id is appended to each document."""
@@ -172,7 +172,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str
             yield flush()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS)
+    # Ranges are cut by short keys: the sample of keys that reaches the driver holds no texts.
+    keyed = narrow.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return keyed.select("doc_id", "text").mapInArrow(run, SEGMENTS)
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
