@@ -23,6 +23,8 @@ PERCENT = 80
 BANDS = 4
 #: Shingles in a window, for each class of template lengths.
 WINDOWS = (1, 4, 16)
+#: Words that tell nothing about a text, however long.
+COMMON = frozenset("this that with from under about which where there their these those them they then than have your will without within other into also".split())
 #: Template minima are broadcast up to so many rows; beyond, the join shuffles.
 MOST_BROADCAST = 2_000_000
 _MASKS = (0x0, 0x5DEECE66D1A2B3C4, 0x2545F4914F6CDD1D, 0x7F4A7C159E3779B9)
@@ -55,13 +57,13 @@ def _words(cleaned: Column) -> Column:
 
 def anchors(templates: dict[str, str]) -> str | None:
     """A pattern that every text holds which shares a shingle with a template: the longest word of each
-    template shingle. Texts without it can't collide in any band, and are passed by."""
+    template shingle, common ones last. Texts without it can't collide in any band, and are passed by."""
     import re
 
     found = set()
     for text in templates.values():
         w = re.sub(r"[^\w\s]|_", "", text.lower()).split()
-        found |= {max(w[i : i + WIDTH], key=lambda x: (len(x), x)) for i in range(len(w) - WIDTH + 1)}
+        found |= {max(w[i : i + WIDTH], key=lambda x: (x not in COMMON, len(x), x)) for i in range(len(w) - WIDTH + 1)}
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(found)) + r")(?![\p{L}\p{N}])" if found else None
 
 
