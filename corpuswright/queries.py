@@ -324,13 +324,13 @@ def request_lines(spark, d):
     return _docs(spark, d).select(parsed.alias("r")).select("r.custom_id", "r.method", F.get("r.body.messages", 1)["content"].alias("content"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 5 AS BIGINT) END AS quality FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 5 AS BIGINT) ELSE -1 END AS quality FROM events")
 def parse_responses(spark, d):
     content = F.to_json(F.struct((F.col("event_id") % 5).alias("quality")))
     status = F.when(F.col("event_id") % 7 == 0, 500).otherwise(200)
     line = F.to_json(F.struct(F.col("event_id").cast("string").alias("custom_id"), F.struct(status.alias("status_code"), F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response")))
     r = text.parse_response(line, "quality long")
-    return _table(spark, d, "events").select(r.alias("r")).select(F.col("r.custom_id").cast("long").alias("event_id"), F.col("r.answer.quality").alias("quality"))
+    return _table(spark, d, "events").select(r.alias("r")).select(F.col("r.custom_id").cast("long").alias("event_id"), F.coalesce("r.answer.quality", F.lit(-1)).alias("quality"))
 
 
 @query()
