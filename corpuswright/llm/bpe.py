@@ -29,9 +29,9 @@ from . import pieces
 
 LONG_WORD = 400
 #: Characters encoded at a time by a worker: one recursive query each.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 6_000_000
 #: Words whose codes a worker keeps.
-WORDS = 400_000
+WORDS = 600_000
 
 #: A row is a token and its position, with the next position and token of its word. best: in each word,
 #: the pair of least rank, leftmost among equals, and what follows its second token.
@@ -155,18 +155,19 @@ def worker(path: str, pattern: str) -> pieces.Pieces:
         import regex
 
         find, coder = regex.compile(pattern).findall, WordEncoder(read_ranks(path))
-        words: dict[str, tuple[bytes, bytes]] = {}
+        words: dict[bytes, tuple[bytes, bytes]] = {}
 
         def encode(new: list[str]) -> tuple[list[tuple[bytes, bytes]], list[bool]]:
-            found = [find(x) for x in new]
+            found = [[w.encode() for w in find(x)] for x in new]
             distinct = set(chain.from_iterable(found))
             unseen = [w for w in distinct if w not in words]
             if len(words) + len(unseen) > WORDS:
                 words.clear()
                 unseen = list(distinct)
             rare = set(unseen)
-            ids = coder.encode([w.encode() for w in unseen])
-            words.update(zip(unseen, zip([x.astype("<u4").tobytes() for x in ids], coder.decode(ids), strict=True), strict=True))
+            ids = coder.encode(unseen)
+            for word, x, text in zip(unseen, ids, coder.decode(ids), strict=True):
+                words[word] = x.astype("<u4").tobytes(), word if text == word else text  # equal bytes are held once
             values = [words[w[0]] if len(w) == 1 else (b"".join([words[x][0] for x in w]), b"".join([words[x][1] for x in w])) for w in found]
             return values, [rare.isdisjoint(w) for w in found]
 

@@ -105,11 +105,15 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, id_
 
     # The rest fill what room is left, in a fixed order.
     left = quotas.join(placed.where("shard IS NOT NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("held")), "shard", "left").select("shard", (F.col("quota") - F.coalesce("held", F.lit(0))).alias("room"))
-    gaps = left.select(F.col("shard").alias("gap"), F.sum("room").over(Window.orderBy("shard")).alias("upto"), "room").where("room > 0")
-    gaps = gaps.agg(F.sort_array(F.collect_list(F.struct("upto", "gap"))).alias("gaps"))  # one entry a shard
     free = numbered(placed.where("shard IS NULL").drop("shard").withColumn("all", F.lit(0)), ["all"], ["group", "doc_id"], "number").drop("all")
-    upto = F.get(F.filter("gaps", lambda g: g["upto"] > F.col("number")), 0)["gap"]
-    filled = free.join(F.broadcast(gaps)).withColumn("shard", upto).drop("gaps", "number")
+    upto, spot = 0, F.lit(None).cast("int")
+    gaps = []
+    for r in sorted(left.collect(), key=lambda r: r["shard"]):  # one row a shard
+        upto += r["room"]
+        gaps.append((upto, r["shard"]))
+    for end, shard in reversed(gaps):
+        spot = F.when(F.col("number") < end, shard).otherwise(spot)
+    filled = free.withColumn("shard", spot).drop("number")
     whole = placed.where("shard IS NOT NULL").unionByName(filled)
     out = numbered(whole, ["shard"], ["group", "doc_id"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

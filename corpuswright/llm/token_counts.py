@@ -47,14 +47,14 @@ def suffix_table(hist: DataFrame) -> DataFrame:
     heads = bucketed.groupBy("bucket").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     heads = heads.select("bucket", F.coalesce(F.sum("d").over(beyond), F.lit(0)).alias("d_beyond"), F.coalesce(F.sum("t").over(beyond), F.lit(0)).alias("t_beyond"))
     inside = Window.partitionBy("bucket").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
-    total = hist.agg(F.sum("docs").alias("all_docs"), F.sum(F.col("docs") * F.col("n_tokens")).alias("all_tokens"))
+    total = hist.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.col("docs") * F.col("n_tokens")), F.lit(0)).alias("tokens")).first()
+    all_docs, all_tokens = F.lit(total["docs"]), F.lit(total["tokens"])
     return (
         bucketed.withColumn("d", F.sum("docs").over(inside)).withColumn("t", F.sum("tokens").over(inside))
-        .join(F.broadcast(heads), "bucket").join(F.broadcast(total))  # one row a bucket, and one row
-        .select("n_tokens", "docs", "tokens", (F.col("d") + F.col("d_beyond")).alias("docs_at_least"), (F.col("t") + F.col("t_beyond")).alias("tokens_at_least"), "all_docs", "all_tokens")
-        .withColumn("truncated_total", F.col("all_tokens") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least"))
-        .withColumn("share_at_most", (F.col("all_docs") - F.col("docs_at_least") + F.col("docs")) / F.col("all_docs"))
-        .drop("all_docs", "all_tokens")
+        .join(F.broadcast(heads), "bucket")  # one row a bucket
+        .select("n_tokens", "docs", "tokens", (F.col("d") + F.col("d_beyond")).alias("docs_at_least"), (F.col("t") + F.col("t_beyond")).alias("tokens_at_least"))
+        .withColumn("truncated_total", all_tokens - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least"))
+        .withColumn("share_at_most", (all_docs - F.col("docs_at_least") + F.col("docs")) / all_docs)
     )
 
 
