@@ -146,12 +146,9 @@ class WordEncoder:
         return out
 
 
-_workers: dict = {}
-
-
 def worker(path: str, pattern: str) -> pieces.Pieces:
     """Of this Python worker: piece -> (ids, decoded bytes), by way of the piece's words."""
-    if (path, pattern) not in _workers:
+    if (path, pattern) not in pieces._loaded:
         import regex
 
         find, coder = regex.compile(pattern).findall, WordEncoder(read_ranks(path))
@@ -171,8 +168,8 @@ def worker(path: str, pattern: str) -> pieces.Pieces:
             values = [words[w[0]] if len(w) == 1 else (b"".join([words[x][0] for x in w]), b"".join([words[x][1] for x in w])) for w in found]
             return values, [rare.isdisjoint(w) for w in found]
 
-        _workers[path, pattern] = pieces.Pieces(encode, 200_000)
-    return _workers[path, pattern]
+        pieces._loaded[path, pattern] = pieces.Pieces(encode, 200_000)
+    return pieces._loaded[path, pattern]
 
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

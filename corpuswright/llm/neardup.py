@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, scratch
+from . import graph, pieces, scratch
 
 TREES = 24
 LEAST_DEPTH = 4
@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        pieces.forget()
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)
@@ -158,6 +159,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """The pairs (a, b) whose full shingle sets reach the similarity. texts: node, text (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.forget()
         for b in batches:
             keep = []
             for s, t in zip(b.column(2), b.column(3), strict=True):

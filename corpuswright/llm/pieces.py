@@ -7,6 +7,8 @@ so each worker keeps the results of the latest ones in a cache of bounded size."
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
@@ -70,6 +72,16 @@ WORDS = 700_000
 _loaded: dict = {}
 
 
+def forget() -> None:
+    """Give back the memory of this Python worker's encoders. Workers outlive stages, so that stages
+    that need none of them call this first."""
+    if _loaded:
+        _loaded.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def library_encoder(path: str, ids: bool) -> Pieces:
     """Pieces by the tokenizers library, one for each Python worker: their ids as little-endian
     unsigned 32-bit integers, or just how many there are.

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pieces
+
 #: At most so many trusted positives, trusted negatives and unlabelled texts are fitted, those of least hash.
 MOST_POSITIVES, MOST_NEGATIVES, MOST_UNLABELLED = 6_000, 3_000, 12_000
 WORD_BUCKETS = 256
@@ -133,6 +135,7 @@ def _collected(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray,
     """doc_id, kind and features of a bounded set of rows (ids: doc_id, kind), in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.forget()
         buckets: dict = {}
         for b in batches:
             if b.num_rows:
@@ -214,6 +217,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Only texts go to the workers, and only scores come back; the rows themselves stay where they are.
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces.forget()
         buckets, m = {}, shared.value
         for texts in batches:
             out = [m.score(np.stack([features(v or b"", buckets) for v in texts.iloc[k : k + 250]])) for k in range(0, len(texts), 250)]
