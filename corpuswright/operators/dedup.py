@@ -57,6 +57,7 @@ def band_keys(sig: DataFrame, bands: int = BANDS, n: int = PERMUTATIONS, key: st
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
     """Rows of buckets that hold several documents. Never pairs: a bucket of m documents is m rows."""
+    keys = tables.written(keys, "bands")  # read twice: signatures are made once
     many = keys.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket")
     return keys.join(many, ["band", "bucket"], "left_semi")
 
