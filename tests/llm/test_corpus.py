@@ -9,6 +9,7 @@ import pytest
 
 from corpuswright.llm import decontam, graph, license_scan, neardup, pii, quality, shards
 
+from . import helpers
 from .helpers import TEXTS, base_spans, components, frame
 
 
@@ -43,6 +44,23 @@ def test_near_duplicates_match_brute_force(spark, seed, width):
     assert got == {i: (c, c == i) for i, c in want.items()}
 
 
+def test_near_duplicates_in_a_crowded_region(spark):
+    """Pairs of similarity 0.81 among texts that share a long passage (0.77)."""
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(200)]
+    own = lambda n: [f"o{rng.randrange(10**12)}" for _ in range(n)]
+    texts = [(k, passage + own(30)) for k in range(1000, 3000)]
+    for k in range(100):
+        pair = own(6)
+        texts += [(k, passage + pair + own(24)), (3000 + (37 * k) % 100, passage + pair + own(24))]
+    # Texts are alike but for their own words, so three pairs tell of all.
+    sets = [helpers.shingles(" ".join(t), 2) for _, t in texts[1998:2002]]
+    alike = [len(sets[i] & sets[k]) / len(sets[i] | sets[k]) for i, k in ((0, 1), (1, 2), (2, 3))]
+    assert max(alike[:2]) < 0.8 <= alike[2]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, [(i, " ".join(t)) for i, t in texts]), width=2).collect()}
+    assert got == {i: i for i, _ in texts} | {3000 + (37 * k) % 100: k for k in range(100)}
+
+
 def test_near_duplicates_edges(spark):
     df = frame(spark)
     got = neardup.near_duplicates(df, width=2).collect()
