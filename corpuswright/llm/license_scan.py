@@ -2,11 +2,10 @@
 
 Words become shingles of WIDTH words. Windows of a power of two of shingles overlap at every
 offset; the minimum of each of BANDS permuted hashes over a window is found by doubling, from those
-of the two halves. A template belongs to the longest window that it fills, and is retrieved by any of
-its own windows' minima. Each band is one minimum, so a window that shares a share J of its shingles
-with a template's collides with probability 1 - (1 - J)^BANDS: 0.998 at J = 0.8 for one
-window, and a verbatim passage always does. Exact containment of the template's shingles
-in the document's then decides.
+of the two halves. A template belongs to the longest window that it fills, and is retrieved by the
+minima of its own windows of that length and of all shorter ones, since a cut notice in a short document
+fills no long window. A window of one shingle is that shingle, so no document that shares one with a
+template is missed. Exact containment of the template's shingles in the document's then decides.
 """
 
 from __future__ import annotations
@@ -113,7 +112,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     An empty table gives no rows."""
     spark = docs.sparkSession
     known = scratch.stored(template_table(spark, templates), "templates")
-    keys = _minima(known.withColumnRenamed("window", "class"), ["license", "class"]).where("window = class").select("license", "window", "band", "h").distinct()
+    keys = _minima(known.withColumnRenamed("window", "class"), ["license", "class"]).where("window <= class").select("license", "window", "band", "h").distinct()
     keys = scratch.stored(keys, "keys")
     pattern = anchors(templates)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _cleaned(F.col(text_col).cast("string")).alias("cleaned"))

@@ -204,6 +204,19 @@ def test_licence_scan_matches_exact_containment(spark):
     assert license_scan.scan(frame(spark).limit(0)).count() == 0 and license_scan.scan(frame(spark, docs), {}).count() == 0
 
 
+def test_licence_scan_finds_cut_notices_in_short_documents(spark):
+    import duckdb
+    import pandas as pd
+
+    notices = {k: license_scan.TEMPLATES[k].split() for k in ("MIT-notice", "Apache-2.0-notice", "BSD-notice", "GPL-notice")}
+    cuts = [(k, " ".join(w[i : len(w) - j])) for k, w in notices.items() for i in range(4) for j in range(4 - i)]
+    docs = [(n, t) for n, (_, t) in enumerate(cuts)]
+    got = sorted((r.doc_id, r.license, r.matched, r.template_shingles) for r in license_scan.scan(frame(spark, docs)).collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    assert got == sorted(con.sql(license_scan.oracle()).fetchall()) and {(n, k) for n, (k, _) in enumerate(cuts)} <= {g[:2] for g in got}
+
+
 def test_pipeline_runs_its_stages(spark, tmp_path):
     import corpus_pipeline
 
