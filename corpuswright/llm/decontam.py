@@ -3,12 +3,13 @@
 Numbers, names and units become typed placeholders, so that a question with other parameters has the
 same template. Windows of WIDTH template words of all documents meet those of the benchmark in a hash
 join. A document that holds enough of an item's windows is checked slot by slot: where the item repeats
-a value, the document must repeat its own one.
+a value, the document must repeat its own one. Windows are aligned at their first places; where that is
+inconsistent, at the places nearest to each diagonal (place less the window's number) that the document holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -77,18 +78,45 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     sizes = items.groupBy("item_id").agg(F.max("windows").cast("long").alias("windows"))
     held = scratch.stored(held.join(sizes, "item_id").where(F.col("matched") * 100 >= F.col("windows") * PERCENT), "held")
 
-    # Slots: aligned words under a placeholder, as (kind and item's value, document's value).
+    # Slots are checked at the first places, and where those don't do, at all others.
     with_slots = items.where(F.exists("words", lambda w: w.isin("#", "@", "~"))).select("item_id", "raw", "words")
     texts = rows.join(held.join(with_slots.select("item_id"), "item_id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
-    own = texts.select("doc_id", _words(marked(F.col("text"))).alias("own")).dropDuplicates(["doc_id"])
+    own = texts.select("doc_id", marked(F.col("text")).alias("m")).dropDuplicates(["doc_id"])
+    own = scratch.stored(own.select("doc_id", _words(F.col("m")).alias("own"), _words(template(F.col("m"))).alias("template")), "own")
+    slots = scratch.stored(_slots(held, with_slots, own), "slots")
+    open_ = slots.where(F.col("consistent") * 100 < F.col("slots") * PERCENT).select("doc_id", "item_id")
+    better = _slots(_chains(open_, own, item_windows), with_slots, own).where(F.col("consistent") * 100 >= F.col("slots") * PERCENT)
+    better = better.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", "slots")).alias("s")).select("doc_id", "item_id", F.col("s.slots").alias("better"), F.col("s.consistent").alias("steady"))
+    slots = slots.join(better, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.coalesce("better", "slots").alias("slots"), F.coalesce("steady", "consistent").alias("consistent"))
+    out = held.join(slots, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "windows", "matched", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("consistent", F.lit(0)).cast("long").alias("consistent"))
+    return out.where(F.col("consistent") * 100 >= F.col("slots") * PERCENT)
+
+
+def _slots(held: DataFrame, with_slots: DataFrame, own: DataFrame) -> DataFrame:
+    """doc_id, item_id, slots, consistent, for each row of held (with pairs: at, place)."""
+    # Aligned words under a placeholder, as (kind and item's value, document's value).
     aligned = F.flatten(F.transform("pairs", lambda p: F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.struct(
         F.concat(F.get("words", p["at"] + k), F.get("raw", p["at"] + k)).alias("value"), F.get("own", p["place"] + k).alias("other"), F.get("words", p["at"] + k).isin("#", "@", "~").alias("slot")))))
     slots = held.join(with_slots, "item_id").join(own, "doc_id").select("doc_id", "item_id", F.array_distinct(F.filter(aligned, lambda s: s["slot"])).alias("found"))
     values = F.array_distinct(F.transform("found", lambda s: s["value"]))
     steady = F.size(F.filter(values, lambda v: F.size(F.filter("found", lambda s: s["value"] == v)) == 1))
-    slots = slots.select("doc_id", "item_id", F.size(values).cast("long").alias("slots"), steady.cast("long").alias("consistent"))
-    out = held.join(slots, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "windows", "matched", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("consistent", F.lit(0)).cast("long").alias("consistent"))
-    return out.where(F.col("consistent") * 100 >= F.col("slots") * PERCENT)
+    return slots.select("doc_id", "item_id", F.size(values).cast("long").alias("slots"), steady.cast("long").alias("consistent"))
+
+
+def _chains(pairs: DataFrame, own: DataFrame, item_windows: DataFrame) -> DataFrame:
+    """doc_id, item_id, pairs (at, place), once for each diagonal: each held window at its place nearest to it."""
+    docs = own.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(_window_hashes(F.col("template"))).alias("place", "h"))
+    hits = docs.join(item_windows, "h").join(pairs, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "at", "place").distinct()
+    hits = scratch.stored(hits, "hits")
+    wanted = hits.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
+    wanted = wanted.join(hits.select("doc_id", "item_id", "at").distinct(), ["doc_id", "item_id"]).withColumn("spot", F.col("diagonal") + F.col("at"))
+    # The nearest places before and behind each spot, from sorted runs: no window meets all its places.
+    both = wanted.select("doc_id", "item_id", "at", "spot", "diagonal", F.lit(None).cast("int").alias("place"))
+    both = both.unionByName(hits.select("doc_id", "item_id", "at", F.col("place").alias("spot"), F.lit(None).cast("int").alias("diagonal"), "place"))
+    group = Window.partitionBy("doc_id", "item_id", "at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("before", F.max("place").over(group.orderBy("spot"))).withColumn("behind", F.min("place").over(group.orderBy(F.desc("spot")))).where("diagonal IS NOT NULL")
+    near = F.when(F.col("before").isNull() | (F.col("behind") - F.col("spot") < F.col("spot") - F.col("before")), F.col("behind")).otherwise(F.col("before"))
+    return both.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_list(F.struct("at", near.alias("place"))).alias("pairs"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

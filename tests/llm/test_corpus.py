@@ -191,6 +191,14 @@ def test_decontamination(spark):
     assert decontam.matches(frame(spark).limit(0), bench).count() == 0 and decontam.matches(frame(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_looks_behind_an_earlier_variant(spark):
+    item = "A farmer sold 12 apples to each neighbour of the 5 who came by on the market day before 12 more went home"
+    variant = "then sold 30 apples to each neighbour and another went by the 9 who came by"
+    docs = [(1, f"{variant}. {item}. end"), (2, item), (3, f"{item}. {variant}"), (4, f"{variant}. {variant}. {item.replace('each', 'each and every')}"), (5, f"{variant}. {item.replace('12 more', '13 more')}")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.matches(frame(spark, docs), bench).collect()) == [1, 2, 3]
+
+
 def test_licence_scan_matches_exact_containment(spark):
     notice = license_scan.TEMPLATES["BSD-notice"]
     docs = [(1, "Code.\nReleased under the MIT License.\nMore"), (2, "x " + notice.upper() + " y"), (3, notice.replace("permitted", "allowed")), (4, "Licensed under something else"), (5, None), (6, ""), (7, "z " * 20_000 + "licensed under the apache license version 20")]
