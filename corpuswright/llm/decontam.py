@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import tables
 
 WIDTH = 5
 PERCENT = 80
@@ -65,8 +65,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     of its own kind. Other columns are ignored. An empty table on either side gives no rows."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), marked(F.col(item_text).cast("string")).alias("m"))
     items = items.select("item_id", _words(F.col("m")).alias("raw"), _words(template(F.col("m"))).alias("words")).where(F.size("words") >= WIDTH)
-    items = scratch.stored(items.withColumn("windows", F.size("words") - (WIDTH - 1)).dropDuplicates(["item_id", "raw"]), "items")
-    item_windows = scratch.stored(items.select("item_id", F.posexplode(_window_hashes(F.col("words"))).alias("at", "h")), "item_windows")
+    items = tables.written(items.withColumn("windows", F.size("words") - (WIDTH - 1)).dropDuplicates(["item_id", "raw"]), "items")
+    item_windows = tables.written(items.select("item_id", F.posexplode(_window_hashes(F.col("words"))).alias("at", "h")), "item_windows")
     small = item_windows.count() <= MOST_BROADCAST
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -76,14 +76,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     first = found.groupBy("doc_id", "item_id", "at").agg(F.min("place").alias("place"))
     held = first.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.collect_list(F.struct("at", "place")).alias("pairs"))  # one pair for each window of the item at most
     sizes = items.groupBy("item_id").agg(F.max("windows").cast("long").alias("windows"))
-    held = scratch.stored(held.join(sizes, "item_id").where(F.col("matched") * 100 >= F.col("windows") * PERCENT), "held")
+    held = tables.written(held.join(sizes, "item_id").where(F.col("matched") * 100 >= F.col("windows") * PERCENT), "held")
 
     # Slots are checked at the first places, and where those don't do, at all others.
     with_slots = items.where(F.exists("words", lambda w: w.isin("#", "@", "~"))).select("item_id", "raw", "words")
     texts = rows.join(held.join(with_slots.select("item_id"), "item_id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
     own = texts.select("doc_id", marked(F.col("text")).alias("m")).dropDuplicates(["doc_id"])
-    own = scratch.stored(own.select("doc_id", _words(F.col("m")).alias("own"), _words(template(F.col("m"))).alias("template")), "own")
-    slots = scratch.stored(_slots(held, with_slots, own), "slots")
+    own = tables.written(own.select("doc_id", _words(F.col("m")).alias("own"), _words(template(F.col("m"))).alias("template")), "own")
+    slots = tables.written(_slots(held, with_slots, own), "slots")
     open_ = slots.where(F.col("consistent") * 100 < F.col("slots") * PERCENT).select("doc_id", "item_id")
     better = _slots(_chains(open_, own, item_windows), with_slots, own).where(F.col("consistent") * 100 >= F.col("slots") * PERCENT)
     better = better.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", "slots")).alias("s")).select("doc_id", "item_id", F.col("s.slots").alias("better"), F.col("s.consistent").alias("steady"))
@@ -107,7 +107,7 @@ def _chains(pairs: DataFrame, own: DataFrame, item_windows: DataFrame) -> DataFr
     """doc_id, item_id, pairs (at, place), once for each diagonal: each held window at its place nearest to it."""
     docs = own.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(_window_hashes(F.col("template"))).alias("place", "h"))
     hits = docs.join(item_windows, "h").join(pairs, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "at", "place").distinct()
-    hits = scratch.stored(hits, "hits")
+    hits = tables.written(hits, "hits")
     wanted = hits.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
     wanted = wanted.join(hits.select("doc_id", "item_id", "at").distinct(), ["doc_id", "item_id"]).withColumn("spot", F.col("diagonal") + F.col("at"))
     # The nearest places before and behind each spot, from sorted runs: no window meets all its places.
@@ -128,5 +128,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
     # A few documents in a hundred at most; the join shuffles where they are many.
-    bad = scratch.stored(matches(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    bad = tables.written(matches(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")

@@ -5,41 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import tables
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first())
+def _tied(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with m of least (u, m, n). A hub's rows are dealt out by v: see tables.looked_up."""
+    return tables.looked_up(rows, least, ["u"], "n", total, ["v"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node ties its larger neighbours to the least of its neighbours and itself."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _tied(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node ties its smaller neighbours and itself to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    tied = _tied(edges, least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """edges: a, b (long). Returns node, component (the least node reachable); nodes without an edge don't appear.
-
-    A hub's edges are never gathered: its least neighbour is a partial aggregate, and the joins are
-    ones whose large partitions the engine splits. An empty table gives an empty one; loops and
-    repeated edges do no harm. Raises if most_rounds don't suffice (their number grows with the
-    logarithm of the nodes)."""
-    now = scratch.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = _mark(now)
+    """edges: a, b (long). Returns node, component (the least node reachable), written; nodes without an edge don't appear.
+
+    A hub's edges are never gathered: its least neighbour is a partial aggregate and reaches its rows by
+    broadcast. An empty table gives an empty one; loops and repeated edges do no harm. Raises if
+    most_rounds don't suffice (their number grows with the logarithm of the nodes)."""
+    now = tables.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    n = now.count()
     for _ in range(most_rounds):
-        after = scratch.stored(_small_star(_large_star(now)), "edges")
-        if (new := _mark(after)) == mark:
+        large = tables.written(_large_star(now, n), "large")
+        after = tables.written(_small_star(large, n), "edges")
+        tables.drop(large)
+        m = after.count()
+        settled = m == n and after.join(now.hint("merge"), ["u", "v"], "left_anti").isEmpty()
+        tables.drop(now)
+        now, n = after, m
+        if settled:
             # Stars: every node but a component's least points at the least.
-            heads = after.select(F.col("v").alias("node")).distinct()
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads.select("node", F.col("node").alias("component")))
-        now, mark = after, new
+            heads = now.select(F.col("v").alias("node")).distinct()
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads.select("node", F.col("node").alias("component")))
+            out = tables.written(out, "components")
+            tables.drop(now)
+            return out
     raise RuntimeError("components have not settled")

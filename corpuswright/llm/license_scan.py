@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import tables
 
 WIDTH = 5
 PERCENT = 80
@@ -111,18 +111,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     A null text holds nothing. Rows that repeat a doc_id count as one document. Other columns are ignored.
     An empty table gives no rows."""
     spark = docs.sparkSession
-    known = scratch.stored(template_table(spark, templates), "templates")
+    known = tables.written(template_table(spark, templates), "templates")
     keys = _minima(known.withColumnRenamed("window", "class"), ["license", "class"]).where("window <= class").select("license", "window", "band", "h").distinct()
-    keys = scratch.stored(keys, "keys")
+    keys = tables.written(keys, "keys")
     pattern = anchors(templates)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _cleaned(F.col(text_col).cast("string")).alias("cleaned"))
     rows = rows.where(F.col("cleaned").rlike(pattern) if pattern else F.lit(False))
     # Written once: what follows is planned on plain columns, not on these expressions repeated.
-    rows = scratch.stored(rows.select("doc_id", _words(F.col("cleaned")).alias("words")), "anchored")
-    rows = scratch.stored(rows.select("doc_id", _shingles(F.col("words")).alias("shingles")), "shingles")
+    rows = tables.written(rows.select("doc_id", _words(F.col("cleaned")).alias("words")), "anchored")
+    rows = tables.written(rows.select("doc_id", _shingles(F.col("words")).alias("shingles")), "shingles")
     small = keys.count() <= MOST_BROADCAST
     found = _minima(rows, ["doc_id"]).join(F.broadcast(keys) if small else keys, ["window", "band", "h"]).select("doc_id", "license").distinct()
-    found = scratch.stored(found, "retrieved")
+    found = tables.written(found, "retrieved")
 
     # Exact containment, for the documents retrieved.
     held = rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("h"))

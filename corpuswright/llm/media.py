@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import tables
 
 UNIT = 576
 PACKET = 188
@@ -238,4 +238,4 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def write_and_read(docs: DataFrame) -> DataFrame:
-    return read_media(scratch.stored(store_media(docs), "media"))
+    return read_media(tables.written(store_media(docs), "media"))

@@ -9,9 +9,11 @@
    out by range, so a large region spreads over tasks; those at the ends of a task count as crowded.
 3. Sketches of the signatures drop candidates that can't reach the threshold; of the others each node's
    best is confirmed first, on the full sets. Then those that still join different components are.
-4. Crowded nodes meet once more in an exact prefix-filter join: of shingles in order of rarity, the
-   first that two similar sets share stands among the first 11 % of the smaller one's and the first 20 %
-   of the larger one's. Pairs of different components only are made and confirmed.
+4. Crowded nodes, whose regions no further minima tell apart, meet once more in an exact join: of shingles
+   in order of rarity, the first that two similar sets share stands among the first 11 % of the smaller
+   one's and the first 20 % of the larger one's. Only those of the smaller ones are looked for among the
+   others, so that a passage which a family shares makes no pairs unless it is most of a text.
+   Pairs of different components only are made and confirmed.
 5. Components of confirmed links.
 
 A link between texts of similarity 0.8 shares no region with probability (1 - 0.8^4)^24, 3 in a
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, pieces, scratch
+from .. import tables
+from . import graph, pieces
 
 TREES = 24
 LEAST_DEPTH = 4
@@ -89,8 +92,8 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_hi and set_lo (the set's own hash), sketch, region and order (of each tree)."""
-    schema = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch binary, region array<long>, deeper array<long>"
+    """doc_id, text_hash, n_shingles, set_hi and set_lo (the set's own hash), sketch, region and deeper (of each tree)."""
+    schema = "doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, sketch binary, region array<long>, deeper array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -100,7 +103,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)
                 n, hi, lo, m = [], [], [], np.empty((part.num_rows, HASHES), np.uint32)
-                for i, text in enumerate(part.column(1)):
+                for i, text in enumerate(part.column(2)):
                     s = shingle_hashes(text.as_py() or b"", width)
                     n.append(len(s))
                     d = xxhash.xxh3_128_digest(s.tobytes())
@@ -116,9 +119,11 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 offsets = pa.array(np.arange(0, (len(m) + 1) * TREES, TREES, dtype=np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64).ravel())) for x in (region, deeper)]
                 sketch = pa.array([row.tobytes() for row in (m & 0xFF).astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), sketch, *lists], names=["doc_id", "n_shingles", "set_hi", "set_lo", "sketch", "region", "deeper"])
+                columns = [part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in (n, hi, lo)), sketch, *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_hi", "set_lo", "sketch", "region", "deeper"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def _neighbours(nodes: DataFrame) -> DataFrame:
@@ -167,6 +172,7 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             keep = near >= floor
             yield pa.RecordBatch.from_pydict({"a": pa.array(b.column(0).to_numpy()[keep]), "b": pa.array(b.column(1).to_numpy()[keep]), "near": pa.array(near[keep])})
 
+    one, two = one.hint("merge"), two.hint("merge")
     fit = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     return fit.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, near double")
 
@@ -213,9 +219,9 @@ def _counts(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _prefix_pairs(texts: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: all pairs of nodes in different components that can reach the similarity, by prefixes of their
-    shingles in one order. texts: node, text (binary). parts: node, component."""
+def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """h, node, n (size of the set), at (place of h in order of rarity), indexed: the shingles among which two
+    similar sets share one; indexed ones are those of the smaller set."""
     shared = texts.sparkSession.sparkContext.broadcast(_counts(texts, width))  # COUNTERS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,83 +234,141 @@ def _prefix_pairs(texts: DataFrame, parts: DataFrame, width: int, percent: int)
                 probe = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
                 index = size - -(-2 * percent * size // (100 + percent)) + 1
                 at = np.concatenate([np.arange(p) for p in probe])
+                h = np.concatenate([s[:p] for s, p in zip(sets, probe, strict=True)]).view(np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "h": pa.array(np.concatenate([s[:p] for s, p in zip(sets, probe, strict=True)]).view(np.int64)), "node": pa.array(np.repeat(part.column(0).to_numpy(), probe)),
-                    "n": pa.array(np.repeat(size, probe).astype(np.int32)), "at": pa.array(at.astype(np.int32)), "indexed": pa.array(at < np.repeat(index, probe)),
+                    "h": pa.array(h), "node": pa.array(np.repeat(part.column(0).to_numpy(), probe)), "n": pa.array(np.repeat(size, probe).astype(np.int32)),
+                    "at": pa.array(at.astype(np.int32)), "indexed": pa.array(at < np.repeat(index, probe)),
                 })
 
-    rows = texts.select("node", "text").mapInArrow(run, "h long, node long, n int, at int, indexed boolean")
-    rows = scratch.stored(rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "prefixes")
-    # Shingles of one component make no pairs. Of the others, the largest component's rows never meet each other.
-    held = rows.groupBy("h", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("part", F.struct("k", "part")).alias("major"), F.count(F.lit(1)).alias("kinds"))
-    rows = scratch.stored(rows.join(held.where("kinds > 1").select("h", "major"), "h"), "shared")
+    return texts.select("node", "text").mapInArrow(run, "h long, node long, n int, at int, indexed boolean")
+
+
+def _prefix_pairs(texts: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: all pairs of nodes in different components that can reach the similarity, by prefixes of their
+    shingles in one order. texts: node, text (binary). parts: node, component."""
+    found = _prefixes(texts, width, percent).join(parts.hint("merge"), "node", "left")
+    every = tables.written(found.withColumn("part", F.coalesce("component", "node")).drop("component"), "prefixes")
+    # Shingles of one component, or that no smaller set is indexed by, make no pairs. Of the others, the largest component's rows never meet each other.
+    held = every.groupBy("h", "part").agg(F.count(F.lit(1)).alias("k"), F.max("indexed").alias("indexed"))
+    held = held.groupBy("h").agg(F.max_by("part", F.struct("k", "part")).alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("k"), F.max("indexed").alias("any"))
+    held = tables.written(held.where("kinds > 1 AND any").select("h", "major", "k"), "held")
+    rows = tables.looked_up(every, held, ["h"], "k", every.count(), ["node"]).where("major IS NOT NULL")
+    rows = tables.written(rows, "shared")
+    tables.drop(every, held)
     one, two = (rows.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "indexed", "part", "major")]) for x in "ab")
-    one, two = one.where("part_a <> major_a"), two.drop("major_b")
+    one, two = one.where("indexed_a").drop("indexed_a"), two.drop("indexed_b", "major_b")
+    # The smaller set comes first; it must be indexed by the shingle.
     smaller = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    fits = F.col("n_a") * 100 >= F.col("n_b") * percent
     # Behind the first shared shingle, no more can be shared than either has left.
-    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    met = one.join(two, "h").where((F.col("part_a") != F.col("part_b")) & F.when(smaller, F.col("indexed_a")).otherwise(F.col("indexed_b")) & fits & enough)
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = left * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    keep = smaller & fits & enough & (F.col("part_a") != F.col("part_b"))
+    minor = one.where("part_a <> major_a").drop("major_a").hint("merge").join(two, "h").where(keep)
+    major = one.where("part_a = major_a").hint("merge").join(two.withColumnRenamed("h", "h_b"), F.expr("h = h_b AND part_b <> major_a")).where(keep)
+    pairs = minor.select("node_a", "node_b").unionByName(major.select("node_a", "node_b"))
+    out = tables.written(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
+    tables.drop(rows)
+    return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id).
+def _united(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of parts joined by further links. Both are given up."""
+    if links.isEmpty():
+        tables.drop(links)
+        return parts
+    out = graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+    tables.drop(parts, links)
+    return out
 
-    Texts without a word (null ones too) have an empty set, link with nothing and are kept. Rows that
-    repeat a doc_id are each placed by their own text. A row whose doc_id is null links with nothing,
-    has component_id null and is kept. Other columns are ignored. An empty table gives no rows."""
-    sig = scratch.stored(signatures(docs, width, id_col, text_col), "signatures")
+
+def _linked(sig: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """node, component: of nodes (one document for each distinct set) that have a link."""
     some = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"))
-    sets = scratch.stored(sets, "sets")
-    nodes = some.join(sets.select("set_hi", "set_lo", F.col("node").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
-    nodes = nodes.dropDuplicates(["node", "set_hi", "set_lo"])
-    pairs = scratch.stored(_neighbours(nodes), "pairs")
-    crowded = pairs.where("a = b").select(F.col("a").alias("node"))
-    pairs = pairs.where("a <> b")
-    maybe = scratch.stored(_sketched(pairs, nodes, percent), "maybe")
+    first = sets.select("set_hi", "set_lo", F.col("node").alias("doc_id")).hint("merge")
+    nodes = some.join(first, ["doc_id", "set_hi", "set_lo"], "left_semi").withColumnRenamed("doc_id", "node")
+    nodes = tables.written(nodes.drop("text_hash").dropDuplicates(["node", "set_hi", "set_lo"]), "nodes")
+    pairs = tables.written(_neighbours(nodes), "pairs")
+    maybe = tables.written(_sketched(pairs.where("a <> b"), nodes, percent), "maybe")
+    tables.drop(nodes)
 
     # Each node's best candidate is confirmed first.
-    best = maybe.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "near")
-    best = best.groupBy("p.x").agg(F.min_by("p.y", F.struct(-F.col("near"), F.col("p.y"))).alias("y"))
-    first = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    used = maybe.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("crowded")).union(crowded.select("node", F.lit(True)))
-    used = used.groupBy("node").agg(F.max("crowded").alias("crowded"))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").cast("binary").alias("text")).join(used.hint("merge"), "node")
-    texts = scratch.stored(texts, "texts")
-    links = scratch.stored(confirmed(first, texts, width, percent), "links")
-    parts = scratch.stored(graph.components(links), "parts")
+    ends = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    best = maybe.select(F.explode(ends).alias("p"), "near").groupBy("p.x").agg(F.min_by("p.y", F.struct(-F.col("near"), F.col("p.y"))).alias("y"))
+    best = tables.written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "best")
+    used = maybe.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("crowded"))
+    used = used.union(pairs.where("a = b").select("a", F.lit(True))).groupBy("node").agg(F.max("crowded").alias("crowded"))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    texts = tables.written(texts.join(used.hint("merge"), "node"), "texts")
+    tables.drop(pairs)
+    links = tables.written(confirmed(best, texts, width, percent), "links")
+    parts = graph.components(links)
+    tables.drop(links)
 
     # Whatever still joins different components is confirmed next; the rest can change nothing.
-    one, two = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in "ab")
-    rest = maybe.join(one, "a", "left").join(two, "b", "left").where("coalesce(part_a, a) <> coalesce(part_b, b)").join(first, ["a", "b"], "left_anti")
-    more = scratch.stored(confirmed(scratch.stored(rest.select("a", "b"), "rest"), texts, width, percent), "links")
-    if not more.isEmpty():
-        parts = scratch.stored(graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "parts")
+    one, two = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")).hint("merge") for c in "ab")
+    rest = maybe.join(one, "a", "left").join(two, "b", "left").where("coalesce(part_a, a) <> coalesce(part_b, b)")
+    rest = tables.written(rest.join(best.hint("merge"), ["a", "b"], "left_anti").select("a", "b"), "rest")
+    tables.drop(maybe, best)
+    parts = _united(parts, tables.written(confirmed(rest, texts, width, percent), "links"))
+    tables.drop(rest)
 
     # Crowded regions hold pairs that are no neighbours.
-    pairs = scratch.stored(_prefix_pairs(texts.where("crowded"), parts, width, percent), "pairs")
-    more = scratch.stored(confirmed(pairs, texts, width, percent), "links")
-    if not more.isEmpty():
-        parts = scratch.stored(graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "parts")
+    pairs = _prefix_pairs(texts.where("crowded"), parts, width, percent)
+    parts = _united(parts, tables.written(confirmed(pairs, texts, width, percent), "links"))
+    tables.drop(pairs, texts)
+    return parts
+
+
+def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates() with text_hash, and the written tables that it reads."""
+    sig = tables.written(signatures(docs, width, id_col, text_col), "signatures")
+    sets = sig.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    sets = tables.written(sets, "sets")
+    parts = _linked(sig, sets.where("node IS NOT NULL"), docs, width, percent, id_col, text_col)
+    narrow = tables.written(sig.select("doc_id", "text_hash", "n_shingles", "set_hi", "set_lo"), "rows")
+    tables.drop(sig)
+    placed = sets.join(parts.hint("merge"), "node", "left").select("set_hi", "set_lo", "n", F.coalesce("component", "node").alias("component_id"))
+    placed = tables.written(placed, "placed")
+    tables.drop(sets, parts)
+    # A group of copies of any size is dealt out: see looked_up.
+    out = tables.looked_up(narrow, placed, ["set_hi", "set_lo"], "n", narrow.count(), ["doc_id", "text_hash"])
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    out = out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), [narrow, placed]
+
 
-    placed = sets.join(parts, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hi")).alias("set_hi"), "set_lo").join(placed, ["set_hi", "set_lo"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id).
+
+    Texts without a word (null ones too) have an empty set, link with nothing and are kept. Rows that
+    repeat a doc_id are each placed by their own text. A row whose doc_id is null links with nothing,
+    has component_id null and is kept. Families of texts that share most of a passage are told apart like
+    any others. Texts of any length count whole. Other columns are ignored. An empty table gives no rows."""
+    return _placed(docs, width, percent, id_col, text_col)[0].drop("text_hash")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which one stands for each component, with all their columns.
 
-    Rows with a null doc_id stay. Rows that repeat both doc_id and text are one document, of which one row stays."""
-    found = scratch.stored(near_duplicates(docs, width, percent).select("doc_id", "kept"), "kept")
-    # Neither list is ever broadcast unless the engine finds it small.
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    again = found.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    Rows with a null doc_id or without a word stay. Rows that repeat a doc_id stay or go each by their own
+    text; of those of one component one text stays. Rows that repeat both doc_id and text are one document,
+    of which one row stays."""
+    found, read = _placed(docs, width, percent, "doc_id", "text")
+    found = tables.written(found.where("doc_id IS NOT NULL"), "found")
+    tables.drop(*read)
+    own = found.where("kept AND n_shingles > 0").groupBy("doc_id").agg(F.min("text_hash").alias("stays")).hint("merge")
+    gone = found.where("n_shingles > 0").join(own, "doc_id", "left").where(~F.col("kept") | (F.col("text_hash") != F.col("stays")))
+    gone = tables.written(gone.select("doc_id", "text_hash").distinct(), "gone")
+    again = tables.written(found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "again")
+    tables.drop(found)
+
+    def listed(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).hint("merge")  # the plan is the same at every size
+        same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+        return rows.join(ids, same, how)
+
+    left = listed(docs, gone, "left_anti")
     if again.isEmpty():
         return left
-    same = F.col("doc_id").cast("long") == F.col("__again")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return listed(left, again, "left_anti").unionByName(listed(left, again, "left_semi").dropDuplicates(["doc_id", "text"]))

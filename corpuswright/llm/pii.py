@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from .. import tables
 
 #: Of the columns that this module adds to a table for a while.
 PREFIX = "__pii_"
@@ -253,7 +253,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     A null text counts as empty: no spans. Rows that repeat a doc_id stay apart. Other columns are
     ignored. An empty table gives no rows."""
-    found = scratch.stored(candidates(docs, id_col, text_col), "candidates")
+    found = tables.written(candidates(docs, id_col, text_col), "candidates")
     base = F.concat(*[_each(k, lambda k, i, s: _written(k, s)) for k in KINDS])
     name = F.array(*[F.lit(k) for k in KINDS])
     return found.select(
@@ -266,7 +266,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets, and n_chars (where there is such a
     column) counted anew. Overlapping spans become one, of the kind that starts first. All other
     columns and all rows stay; a null text stays null."""
-    model = fit(counted(scratch.stored(candidates(docs), "candidates")))
+    model = fit(counted(tables.written(candidates(docs), "candidates")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spans, name = PREFIX + "spans", F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     rows = docs.select("*", *_span_exprs(text)).withColumn(spans, F.array_sort(F.transform(_all_spans(model), lambda s: F.struct(s["start"], s["end"], s["kind"]))))

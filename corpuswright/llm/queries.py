@@ -50,10 +50,11 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import scratch, token_counts
+    from .. import tables
+    from . import token_counts
 
     hist = token_counts.histogram(token_counts.lengths(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
-    return token_counts.suffix_table(scratch.stored(hist, "lengths"))
+    return token_counts.suffix_table(tables.written(hist, "lengths"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import scratch
+from .. import tables
 
 ROUNDS = 3
 #: Slices into which a numbering is dealt, so that no task holds all rows of a shard or a group.
@@ -31,7 +31,7 @@ def numbered(df: DataFrame, part: list[str], order: list[Column | str], name: st
 
     Rows are dealt to SLICES of each part by a hash of the order; a slice is numbered alone, and
     the counts of the slices before it are added."""
-    sliced = scratch.stored(df.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int")), "sliced")
+    sliced = tables.written(df.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int")), "sliced")
     within = Window.partitionBy(*part, "__slice").orderBy(*order)
     counts = sliced.groupBy(*part, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.select(*part, "__slice", _before("__n", part or ["__all"], ["__slice"]).alias("__start") if part else F.col("__n"))
@@ -60,7 +60,7 @@ def label_propagation(state: DataFrame, quotas: DataFrame, rounds: int = ROUNDS)
         granted = F.greatest(F.lit(0), F.least(F.col("moves"), F.col("room") - F.col("start") - _before("moves", ["to", "slice"], ["group", "shard"])))
         moved = wishes.join(F.broadcast(starts), ["to", "slice"]).withColumn("granted", granted)  # shards x SLICES rows
         after = moved.select("group", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("granted")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("granted").alias("n")))).alias("s"))
-        state = scratch.stored(after.select("group", "s.*").groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"), f"labels{k}")
+        state = tables.written(after.select("group", "s.*").groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"), f"labels{k}")
     return state
 
 
@@ -76,7 +76,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, id_
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"),
         F.md5(F.concat(F.when(F.col(text_col).isNull(), F.lit(b"n")).otherwise(F.lit(b"t")), data)).alias("group"),
     )
-    rows = scratch.stored(rows, "rows")
+    rows = tables.written(rows, "rows")
     total = rows.count()
     quota = F.lit(total // shards) + F.when(F.col("shard") < total % shards, 1).otherwise(0)
     quotas = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), quota.cast("long").alias("quota"))
@@ -85,23 +85,23 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, id_
     first = F.pmod(F.xxhash64("doc_id", "group"), F.lit(shards)).cast("int")
     state = rows.select("group", first.alias("shard")).groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
     sizes = state.groupBy("group").agg(F.sum("n").alias("in_group")).where("in_group > 1")
-    state = scratch.stored(state.join(sizes.select("group"), "group", "left_semi"), "labels")
+    state = tables.written(state.join(sizes.select("group"), "group", "left_semi"), "labels")
     state = label_propagation(state, quotas, rounds)
 
     # What a shard may keep of its groups, up to its quota.
     sliced = state.withColumn("slice", F.pmod(F.xxhash64("group"), F.lit(SLICES)))
     starts = sliced.groupBy("shard", "slice").agg(F.sum("n").alias("n")).select("shard", "slice", _before("n", ["shard"], ["slice"]).alias("start")).join(F.broadcast(quotas), "shard")
     kept = F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("start") - _before("n", ["shard", "slice"], ["group"])))
-    keeps = scratch.stored(sliced.join(F.broadcast(starts), ["shard", "slice"]).select("group", "shard", kept.alias("n")).where("n > 0"), "keeps")  # shards x SLICES rows
+    keeps = tables.written(sliced.join(F.broadcast(starts), ["shard", "slice"]).select("group", "shard", kept.alias("n")).where("n > 0"), "keeps")  # shards x SLICES rows
     ranges = keeps.select("group", "shard", _before("n", ["group"], ["shard"]).alias("low"), "n").withColumn("high", F.col("low") + F.col("n")).drop("n")
 
     # Number the documents of a group, and put them into the group's ranges; at most one range a shard.
     linked = rows.join(sizes.select(F.col("group").alias("g")), F.col("group") == F.col("g"), "left_semi")
-    linked = scratch.stored(numbered(linked, ["group"], ["doc_id"], "number"), "numbered")
+    linked = tables.written(numbered(linked, ["group"], ["doc_id"], "number"), "numbered")
     by_group = ranges.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("low", "high", "shard"))).alias("ranges"))
     spot = F.filter("ranges", lambda r: (r["low"] <= F.col("number")) & (F.col("number") < r["high"]))
     placed = linked.join(by_group, "group", "left").withColumn("shard", F.get(spot, 0)["shard"]).drop("ranges", "number")
-    placed = scratch.stored(placed.unionByName(rows.join(sizes.select("group"), "group", "left_anti"), allowMissingColumns=True), "placed")
+    placed = tables.written(placed.unionByName(rows.join(sizes.select("group"), "group", "left_anti"), allowMissingColumns=True), "placed")
 
     # The rest fill what room is left, in a fixed order.
     left = quotas.join(placed.where("shard IS NOT NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("held")), "shard", "left").select("shard", (F.col("quota") - F.coalesce("held", F.lit(0))).alias("room"))

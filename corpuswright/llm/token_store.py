@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import pieces, scratch
+from .. import tables
+from . import pieces
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -200,4 +201,4 @@ def read_documents(segments: DataFrame) -> DataFrame:
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    return read_documents(scratch.stored(encode(docs, tokenizer_path, end_id), "token_store"))
+    return read_documents(tables.written(encode(docs, tokenizer_path, end_id), "token_store"))

@@ -7,7 +7,8 @@ import zlib
 import numpy as np
 import pytest
 
-from corpuswright.llm import bpe, media, pieces, scratch, token_counts, token_store
+from corpuswright import tables
+from corpuswright.llm import bpe, media, pieces, token_counts, token_store
 from corpuswright.llm.queries import tokenizer_path, tokenizer_pattern
 
 from .helpers import TEXTS, frame
@@ -80,7 +81,7 @@ def test_token_store(spark, library, monkeypatch):
 
 def test_length_histogram(spark, library):
     df = frame(spark)
-    table = token_counts.suffix_table(scratch.stored(token_counts.histogram(token_counts.lengths(df, PATH)), "h"))
+    table = token_counts.suffix_table(tables.written(token_counts.histogram(token_counts.lengths(df, PATH)), "h"))
     lengths = [len(library(t)) for _, t in TEXTS]
     for r in table.collect():
         n = r.n_tokens
