@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuswright.llm import bpe, decontam, neardup, pii, quality, queries, scratch
+from corpuswright import tables
+from corpuswright.llm import bpe, decontam, neardup, pii, quality, queries
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.stored(docs, name)
+            docs = tables.written(docs, name)
+            if before is not None:
+                tables.drop(before)
+            before = docs
     return docs
