@@ -34,17 +34,16 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     broadcast. An empty table gives an empty one; loops and repeated edges do no harm. Raises if
     most_rounds don't suffice (their number grows with the logarithm of the nodes)."""
     now = tables.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    n = now.count()
+    total = now.count()  # later rounds have two rows at most for each of these
     for _ in range(most_rounds):
-        large = tables.written(_large_star(now, n), "large")
-        after = tables.written(_small_star(large, n), "edges")
-        tables.drop(large)
-        m = after.count()
-        settled = m == n and after.join(now.hint("merge"), ["u", "v"], "left_anti").isEmpty()
-        tables.drop(now)
-        now, n = after, m
-        if settled:
-            # Stars: every node but a component's least points at the least.
+        large = tables.written(_large_star(now, total), "large")
+        after = tables.written(_small_star(large, total), "edges")
+        tables.drop(now, large)
+        now = after
+        # Where no node points twice, or both points and is pointed at, all edges are stars around their least node.
+        ends = F.array(*[F.struct(F.col(c).alias("node"), F.lit(n).alias("up"), F.lit(1 - n).alias("down")) for c, n in (("u", 1), ("v", 0))])
+        open_ = now.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        if open_.where("up + down > 1").isEmpty():
             heads = now.select(F.col("v").alias("node")).distinct()
             out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads.select("node", F.col("node").alias("component")))
             out = tables.written(out, "components")
