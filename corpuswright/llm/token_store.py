@@ -6,9 +6,10 @@ that go on. A rank directory counts the set bits before every RANK_BITS bits of
 the place of any id's next chunk is found by one addition: token i is read by at most one access to
 each level, without decoding what stands before it.
 
-A segment is one self-contained file image: header, document directory, levels. Segments are the
-binary cells of a Parquet table, so that Spark's committer handles retries, and a lost executor's
-work is redone without double output. Within the table, segments ascend with doc_id.
+A segment is one file: header, document directory, levels, and a byte that ends it. Files are neither
+compressed nor framed, so that a reader seeks to the bytes of any token (StoredSegment). Spark's own
+writer makes them, one row a file, so that its committer handles retries, and a lost executor's work is
+redone without double output. In the order of their names, segments ascend with doc_id.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,7 +34,8 @@ SEGMENT_TOKENS = 1_000_000
 #: Characters encoded at a time by a worker.
 CHUNK_CHARS = 1_000_000
 
-SEGMENTS = "segment long, part int, n_docs int, n_tokens long, image binary"
+#: Names of a writer's files: the task, then the file within it.
+_NAME = r"part-(\d+)-.*-c(\d+)[^/]*$"
 
 
 def pack_levels(ids: np.ndarray) -> bytes:
@@ -138,23 +139,87 @@ class Segment:
         return self.levels.slice(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+class StoredSegment:
+    """A segment file, of which only the bytes asked for are read. The store may be any that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        self._stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+        self.bytes_read = 0
+        head = self._read(0, 16)
+        if head[:4] != MAGIC:
+            raise ValueError("not a segment of directly addressable codes")
+        self.n_docs, self.n_tokens = struct.unpack_from("<IQ", head, 4)
+        self._docs = 16 + -(-self.n_docs // 8)
+        self._starts = self._docs + 8 * self.n_docs
+        at = self._starts + 8 * (self.n_docs + 1)
+        (levels,) = struct.unpack("<I", self._read(at, 4))
+        at += 4
+        self._levels = []
+        for _ in range(levels):
+            c, b, r = struct.unpack("<QQQ", self._read(at, 24))
+            self._levels.append((at + 24, at + 24 + c, at + 24 + c + b))
+            at += 24 + c + b + 4 * r
+
+    def _read(self, at: int, n: int) -> bytes:
+        self._stream.seek(at)
+        self.bytes_read += n
+        return bytes(self._stream.readNBytes(n))
+
+    def doc_id(self, k: int) -> int | None:
+        known = self._read(16 + k // 8, 1)[0] >> (k % 8) & 1
+        return struct.unpack("<q", self._read(self._docs + 8 * k, 8))[0] if known else None
+
+    def find(self, doc_id: int) -> int | None:
+        """The number of the first document with this id, by bisection; documents without an id come first."""
+        low, high = 0, self.n_docs
+        while low < high:
+            mid = (low + high) // 2
+            at = self.doc_id(mid)
+            low, high = (mid + 1, high) if at is None or at < doc_id else (low, mid)
+        return low if low < self.n_docs and self.doc_id(low) == doc_id else None
+
+    def length(self, k: int) -> int:
+        begin, end = struct.unpack("<QQ", self._read(self._starts + 8 * k, 16))
+        return end - begin
+
+    def token(self, k: int, i: int) -> int:
+        """Token i of document k: at each level a byte, a bit, a directory entry and a part of one block."""
+        begin, end = struct.unpack("<QQ", self._read(self._starts + 8 * k, 16))
+        if not 0 <= i < end - begin:
+            raise IndexError(i)
+        at, value = begin + i, 0
+        for n, (chunks, bits, ranks) in enumerate(self._levels):
+            value |= self._read(chunks + at, 1)[0] << (n * CHUNK_BITS)
+            block = at // RANK_BITS
+            inside = self._read(bits + block * (RANK_BITS // 8), at // 8 - block * (RANK_BITS // 8) + 1)
+            if not inside[-1] >> (at % 8) & 1:
+                break
+            (before,) = struct.unpack("<I", self._read(ranks + 4 * block, 4))
+            at = before + (int.from_bytes(inside, "little") & ((1 << (at % RANK_BITS)) - 1)).bit_count()
+        return value
+
+    def close(self) -> None:
+        self._stream.close()
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments of all documents in ascending doc_id order (null first; then by a hash of the text).
+    """image: segments of all documents in ascending doc_id order (null first; then by a hash of the text).
 
     A null text counts as empty; rows that repeat a doc_id stay apart; an empty table gives no
-    segments; other columns are ignored. end_id is appended to each document."""
+    segments; texts of any length count whole; other columns are ignored. end_id is appended to each document."""
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
         encoder = pieces.library_encoder(tokenizer_path, ids=True)
         names, counts, found, size = [], [], [], 0
 
         def flush():
-            nonlocal names, counts, found, size, seq
+            nonlocal names, counts, found, size
             ids = np.frombuffer(b"".join(found), "<u4")
-            row = pa.RecordBatch.from_pydict({"segment": pa.array([part << 32 | seq], pa.int64()), "part": pa.array([part], pa.int32()), "n_docs": pa.array([len(names)], pa.int32()), "n_tokens": pa.array([len(ids)], pa.int64()), "image": pa.array([pack_segment(names, counts, ids)], pa.binary())})
-            names, counts, found, size, seq = [], [], [], 0, seq + 1
+            row = pa.RecordBatch.from_pydict({"image": pa.array([pack_segment(names, counts, ids)], pa.binary())})
+            names, counts, found, size = [], [], [], 0
             return row
 
         for b in batches:
@@ -175,30 +240,61 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Ranges are cut by short keys: the sample of keys that reaches the driver holds no texts.
     keyed = narrow.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return keyed.select("doc_id", "text").mapInArrow(run, SEGMENTS)
+    return keyed.select("doc_id", "text").mapInArrow(run, "image binary")
 
 
-def read_documents(segments: DataFrame) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the stored images."""
-    sizes = segments.select("segment", "part", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each partition of the writer, then for each segment inside it.
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("at"))
-    inside = F.coalesce(F.sum("n_tokens").over(before.partitionBy("part").orderBy("segment")), F.lit(0))
-    starts = sizes.withColumn("inside", inside).join(parts, "part").select("segment", (F.col("at") + F.col("inside")).alias("at"))
+def write(segments: DataFrame, path: str) -> None:
+    """One file for each segment. Text files hold a row's bytes as they are, and one line end."""
+    segments.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, part, file (their order), content of each segment file."""
+    rows = spark.read.format("binaryFile").load(path).where("length > 0")
+    number = lambda k: F.regexp_extract("path", _NAME, k).cast("long")
+    return rows.select("path", number(1).alias("part"), number(2).alias("file"), "content")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """path, n_docs, n_tokens, first and last doc_id of each segment file: which to open for a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for segment, image in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for name, image in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = Segment(image.as_py())
+                ids = [d for d in s.doc_ids if d is not None]
+                yield pa.RecordBatch.from_pydict({"path": [name], "n_docs": pa.array([len(s.doc_ids)], pa.int64()), "n_tokens": pa.array([s.n_tokens], pa.int64()), "first": pa.array(ids[:1] or [None], pa.int64()), "last": pa.array(ids[-1:] or [None], pa.int64())})
+
+    return files(spark, path).select("path", "content").mapInArrow(run, "path string, n_docs long, n_tokens long, first long, last long")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the stored files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.forget()
+        for b in batches:
+            for part, file, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 s = Segment(image.as_py())
                 crc = [zlib.crc32(s.document(i).astype("<u4").tobytes()) for i in range(len(s.doc_ids))]
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([segment] * len(crc), pa.int64()), "doc_id": pa.array(s.doc_ids, pa.int64()), "inside": pa.array(s.starts[:-1], pa.int64()), "n_tokens": pa.array(np.diff(s.starts), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                long = lambda x: pa.array(x, pa.int64())
+                yield pa.RecordBatch.from_pydict({"part": long([part] * len(crc)), "file": long([file] * len(crc)), "doc_id": long(s.doc_ids), "inside": long(s.starts[:-1]), "n_tokens": long(np.diff(s.starts)), "ids_crc32": long(crc)})
 
-    # The images stay where they are: only the narrow rows made of them meet the starts.
-    read = segments.select("segment", "image").mapInArrow(run, "segment long, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return read.join(starts, "segment").select("doc_id", (F.col("at") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    # The files stay where they are: only the narrow rows made of them meet the starts.
+    read = files(spark, path).select("part", "file", "content").mapInArrow(run, "part long, file long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    read = tables.written(read, "token_rows")
+    sizes = read.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition of the writer, then for each segment inside it.
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("at"))
+    within = F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy("file")), F.lit(0))
+    starts = sizes.withColumn("within", within).join(parts, "part").select("part", "file", (F.col("at") + F.col("within")).alias("at"))
+    return read.join(starts, ["part", "file"]).select("doc_id", (F.col("at") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    return read_documents(tables.written(encode(docs, tokenizer_path, end_id), "token_store"))
+    """read_documents() of all documents, written and read back. Nulls, repeats and empty tables as in encode()."""
+    spark = docs.sparkSession
+    path = tables.new_path(spark, "token_store")
+    write(encode(docs, tokenizer_path, end_id), path)
+    return read_documents(spark, path)
