@@ -4,8 +4,9 @@ mux() writes a payload as one programme: a programme association table, a progra
 one elementary stream of private data whose access units of UNIT bytes are grouped into PES packets.
 Each PES packet carries a presentation timestamp, and its first transport packet is a random access
 point with a clock reference. parse() reads the tables (and their CRC), follows the programme to its
-elementary stream, checks every continuity counter, reassembles the packets and returns timestamps
-with the byte offset and packet number of every random access point.
+elementary stream, checks the continuity counters of all packets with a payload, reassembles them and
+returns timestamps with the byte offset and packet number of every random access point. These points are
+stored in a column beside the stream, so that a reader can seek without parsing; reading checks them.
 """
 
 from __future__ import annotations
@@ -113,6 +114,16 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+def points_of(payload_bytes: int) -> list[tuple[int, int, int]]:
+    """The random access points (packet number, payload offset, timestamp) of mux() on so many bytes."""
+    out, packet = [], len(TABLES) // PACKET
+    for begin in range(0, payload_bytes, UNIT * UNITS_PER_PES):
+        out.append((packet, begin, begin // UNIT * UNIT_TICKS & 0x1FFFFFFFF))
+        rest = min(UNIT * UNITS_PER_PES, payload_bytes - begin) + 14 - (BODY - 8)
+        packet += 1 + max(0, -(-rest // BODY))
+    return out
+
+
 class Stream(NamedTuple):
     payload: bytes
     programmes: dict[int, int]
@@ -163,7 +174,7 @@ def parse(media: bytes) -> Stream:
         raise ValueError("no stream of private data")
     at = np.flatnonzero(pid == wanted)
     own = rows[at]
-    counters = own[:, 3] & 15
+    counters = own[(own[:, 3] & 0x10) > 0, 3] & 15  # packets without a payload don't count on
     lost = int((((counters[1:].astype(int) - counters[:-1]) & 15) != 1).sum())
     has_field = (own[:, 3] & 0x20) > 0
     skip = np.where(has_field, own[:, 4].astype(int) + 1, 0)
@@ -197,45 +208,71 @@ def seek(media: bytes, stream: Stream, ticks: int) -> tuple[int, int, int]:
     return max((p for p in stream.access_points if p[2] <= ticks), default=stream.access_points[0])
 
 
+#: Of each random access point.
+POINTS = "array<struct<packet:long,offset:long,ticks:long>>"
+
+
+def _point_column(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
+    flat = np.array([p for row in rows for p in row], np.int64).reshape(-1, 3)
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    struct_ = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], ["packet", "offset", "ticks"])
+    return pa.ListArray.from_arrays(pa.array(offsets), struct_)
+
+
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: the text's UTF-8 bytes (null: none), padded with 255, as a stream."""
+    """doc_id, n_bytes, media, points: the text's UTF-8 bytes (null: none), padded with 255, as a stream, and
+    its random access points.
+
+    Rows with a null or repeated doc_id are streams of their own; equal texts give equal streams. Texts of any
+    length count whole, as far as a cell holds them (2 GB). Other columns are ignored. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 data = [x or b"" for x in part.column(1).to_pylist()]
-                media = [mux(x + b"\xff" * (-len(x) % UNIT or (0 if x else UNIT))) for x in data]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_bytes": pa.array([len(x) for x in data], pa.int64()), "media": pa.array(media, pa.binary())})
+                padded = [x + b"\xff" * (-len(x) % UNIT or (0 if x else UNIT)) for x in data]
+                columns = {"n_bytes": pa.array([len(x) for x in data], pa.int64()), "media": pa.array([mux(x) for x in padded], pa.binary()), "points": _point_column([points_of(len(x)) for x in padded])}
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0)} | columns)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("data")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    data = F.col(text_col).cast("string").cast("binary").alias("data")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), data).mapInArrow(run, f"doc_id long, n_bytes long, media binary, points {POINTS}")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Parse stored streams: the features that depend on nothing but the stored bytes.
+    """Parse stored streams: the features that depend on nothing but the stored bytes, and the random access points.
 
     feature: programme, stream type, packets, discontinuities, access points, last timestamp, and a
-    crc32 of the access point table."""
+    crc32 of the access point table. Raises ValueError where the stored points aren't the stream's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
                 rows = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+                points = []
                 for media in part.column(2).to_pylist():
                     s = parse(media)
+                    points.append(s.access_points)
                     table = np.array(s.access_points, "<i8").tobytes()
                     rows["payload_bytes"].append(len(s.payload))
                     rows["payload_sha256"].append(hashlib.sha256(s.payload).hexdigest())
                     rows["tail_crc32"].append(zlib.crc32(s.payload[-32:]))
                     rows["media_bytes"].append(len(media))
                     rows["media_sha256"].append(hashlib.sha256(media).hexdigest())
-                    rows["feature"].append(f"programmes={len(s.programmes)};type={next(iter(s.streams.values()))};packets={len(media) // PACKET};lost={s.discontinuities};points={len(s.access_points)};last={s.timestamps[-1]};table={zlib.crc32(table):08x}")
+                    kind = next(iter(s.streams.values()))
+                    rows["feature"].append(f"programmes={len(s.programmes)};type={kind};packets={len(media) // PACKET};lost={s.discontinuities};points={len(s.access_points)};last={s.timestamps[-1]};table={zlib.crc32(table):08x}")
+                found = _point_column(points)
+                if found.to_pylist() != part.column(3).to_pylist():
+                    raise ValueError("stored access points are not the stream's")
                 types = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_bytes": part.column(1)} | {c: pa.array(v, types.get(c, pa.string())) for c, v in rows.items()})
+                out = {"doc_id": part.column(0), "n_bytes": part.column(1)} | {c: pa.array(v, types.get(c, pa.string())) for c, v in rows.items()}
+                yield pa.RecordBatch.from_pydict(out | {"points": found})
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, points {POINTS}"
+    return stored.select("doc_id", "n_bytes", "media", "points").mapInArrow(run, schema)
 
 
 def write_and_read(docs: DataFrame) -> DataFrame:
+    """read_media() of all documents, written and read back. Nulls, repeats and empty tables as in store_media()."""
     return read_media(tables.written(store_media(docs), "media"))
