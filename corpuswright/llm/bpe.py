@@ -7,16 +7,16 @@ has a pair left. An ordered aggregation over the ids joined with the vocabulary
 Only distinct words that the worker hasn't seen lately are queried; texts are joined from them.
 
 A round of the recursion takes time in proportion to a word's length, so the work for one word grows
-with its square. Words beyond LONG_WORD bytes (none in natural prose) get the same contractions,
-in the same order, from a heap over a linked list instead.
+with its square. Words beyond LONG_WORD bytes (none in natural prose) go through a second recursive query
+with the same result: where no token made by a contraction can take part in one of lower rank, a round
+contracts all places of a word's least pair, from the left, and not just the first. It runs a bounded
+number of rounds at a time, and again until no pair is left.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import pieces
 
 LONG_WORD = 400
+#: Bytes of words in one recursive query, and rows that one for long words may make.
+QUERY_BYTES, QUERY_ROWS = 400_000, 2_000_000
 #: Characters encoded at a time by a worker: one recursive query each.
 CHUNK_CHARS = 6_000_000
 #: Words whose codes a worker keeps.
@@ -60,6 +62,33 @@ FROM state JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w,
 GROUP BY w
 """
 
+#: all: what stands beside what. hits: places of each word's least pair. In a chain of hits that overlap, every
+#: other one is taken, from the left; of a token that later contractions of lower rank may use, only the first hit.
+LONG_RECURSION = """
+WITH RECURSIVE state(w, round, pos, tok) AS (
+    SELECT w, 0, pos, tok FROM bytes
+  UNION ALL
+    (WITH beside AS (
+        SELECT w, round, pos, tok, lead(tok) OVER word AS after, lead(pos) OVER word AS nxt FROM state WHERE round < $most WINDOW word AS (PARTITION BY w ORDER BY pos)
+    ), pairs AS (
+        SELECT b.w, b.pos, b.nxt, m.new, m.lone FROM beside b JOIN merges m ON m.l = b.tok AND m.r = b.after
+    ), hits AS (
+        SELECT p.*, lag(p.nxt) OVER (PARTITION BY p.w ORDER BY p.pos) IS DISTINCT FROM p.pos AS starts, row_number() OVER (PARTITION BY p.w ORDER BY p.pos) AS number
+        FROM pairs p JOIN (SELECT w, min(new) AS new FROM pairs GROUP BY w) least ON least.w = p.w AND least.new = p.new
+    ), chained AS (
+        SELECT *, max(CASE WHEN starts THEN number END) OVER (PARTITION BY w ORDER BY pos) AS chain FROM hits
+    ), taken AS (
+        SELECT w, pos, nxt, new FROM chained WHERE (number - chain) % 2 = 0 AND (number = 1 OR NOT lone)
+    )
+    SELECT b.w, b.round + 1, b.pos, coalesce(t.new, b.tok)
+    FROM beside b LEFT JOIN taken t ON t.w = b.w AND t.pos = b.pos
+    WHERE b.w IN (SELECT w FROM taken) AND NOT EXISTS (SELECT 1 FROM taken g WHERE g.w = b.w AND g.nxt = b.pos))
+)
+SELECT w, max(round) AS round, list(tok ORDER BY pos) AS ids
+FROM state JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w, round)
+GROUP BY w
+"""
+
 DECODE = """
 SELECT w, string_agg(v.hex, '' ORDER BY i) AS hex
 FROM encoded JOIN vocabulary v USING (tok)
@@ -80,10 +109,12 @@ class WordEncoder:
 
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([v])] for v in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": tempfile.mkdtemp()})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # nothing is left on a worker's disk
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, new = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
-        merges = pa.table({"l": left, "r": right, "new": new})  # noqa: F841  the queries name these tables
+        # Tokens that take part in a contraction of lower rank than their own: there, one place at a time is contracted.
+        lone = {part for l, r, n in pairs for part in (l, r) if n < part}
+        merges = pa.table({"l": left, "r": right, "new": new, "lone": [n in lone for _, _, n in pairs]})  # noqa: F841  the queries name these tables
         vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS FROM vocabulary")
@@ -102,34 +133,38 @@ class WordEncoder:
             out[k] = flat[i:j]
         return out
 
-    def _linked(self, word: bytes) -> list[int]:
-        """The same contractions for one long word: least rank first, leftmost among equals."""
-        tok = [self.ranks[bytes([v])] for v in word]
-        text = [bytes([v]) for v in word]
-        after, before = [*range(1, len(tok)), -1], [*range(-1, len(tok) - 1)]
-        heap = [(r, i) for i in range(len(tok) - 1) if (r := self.ranks.get(text[i] + text[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if text[i] is not None else -1
-            if j < 0 or self.ranks.get(text[i] + text[j]) != rank:
-                continue
-            text[i], text[j], tok[i] = text[i] + text[j], None, rank
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := self.ranks.get(text[a] + text[b])) is not None:
-                    heapq.heappush(heap, (r, a))
-        return [t for t, x in zip(tok, text, strict=True) if x is not None]
+    def _recursive_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """The same for long words, some rounds at a time."""
+        state = [self.byte[np.frombuffer(x, np.uint8)] for x in words]
+        open_ = list(range(len(words)))
+        while open_:
+            rows = sum(len(state[k]) for k in open_)
+            most = max(1, QUERY_ROWS // rows)
+            pos = np.concatenate([np.arange(len(state[k]), dtype=np.int32) for k in open_])
+            w = np.repeat(np.array(open_, np.int32), [len(state[k]) for k in open_])
+            self.con.register("bytes", pa.table({"w": w, "pos": pos, "tok": np.concatenate([state[k] for k in open_])}))
+            found = self.con.sql(LONG_RECURSION, params={"most": most}).to_arrow_table()
+            self.con.unregister("bytes")
+            open_ = []
+            for k, rounds, ids in zip(found.column("w").to_pylist(), found.column("round").to_pylist(), found.column("ids"), strict=True):
+                state[k] = ids.values.to_numpy().astype(np.int32)
+                if rounds == most:
+                    open_.append(k)
+        return state
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of distinct words. A word that is itself in the vocabulary is its id."""
-        out: list = [np.array([r], np.int32) if (r := self.ranks.get(x)) is not None else np.zeros(0, np.int32) if not x else np.array(self._linked(x), np.int32) if len(x) > LONG_WORD else None for x in words]
+        out: list = [np.array([r], np.int32) if (r := self.ranks.get(x)) is not None else np.zeros(0, np.int32) if not x else None for x in words]
         todo = [i for i, x in enumerate(out) if x is None]
-        if todo:
-            for i, ids in zip(todo, self._recursive([words[i] for i in todo]), strict=True):
-                out[i] = ids
+        short, begin, size = [i for i in todo if len(words[i]) <= LONG_WORD], 0, 0
+        for end, i in enumerate(short, 1):
+            size += len(words[i])
+            if size >= QUERY_BYTES or end == len(short):
+                for k, ids in zip(short[begin:end], self._recursive([words[k] for k in short[begin:end]]), strict=True):
+                    out[k] = ids
+                begin, size = end, 0
+        for i in (i for i in todo if len(words[i]) > LONG_WORD):  # one by one, as their states are large
+            out[i] = self._recursive_long([words[i]])[0]
         return out
 
     def decode(self, encoded: list[np.ndarray]) -> list[bytes]:
@@ -175,7 +210,8 @@ def worker(path: str, pattern: str) -> pieces.Pieces:
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; with keep, also ids (array<int>) and decoded (binary).
 
-    A null text counts as empty: no ids. Rows that repeat a doc_id stay apart. Other columns are ignored."""
+    A null text counts as empty: no ids. Rows that repeat a doc_id stay apart, null ones too. Texts and words of
+    any length count whole. Other columns are ignored. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker(ranks_path, pattern)
