@@ -79,6 +79,29 @@ def test_token_store(spark, library, monkeypatch):
     assert token_store.write_and_read(df.limit(0), PATH, 2).count() == 0
 
 
+def test_any_token_from_the_files(spark, library, monkeypatch):
+    monkeypatch.setattr(token_store, "SEGMENT_TOKENS", 2000)
+    texts = [(i, t) for i, t in TEXTS if i not in (None, 1)]
+    path = tables.new_path(spark, "tokens")
+    token_store.write(token_store.encode(frame(spark, texts).repartition(3), PATH, 2), path)
+    listed = token_store.manifest(spark, path).collect()
+    assert len(listed) > 2 and sum(r.n_docs for r in listed) == len(texts)
+    rng = random.Random(4)
+    for i, t in texts:
+        ids = [*library(t), 2]
+        (name,) = [r.path for r in listed if r.n_docs and r.first <= i <= r.last]
+        s = token_store.StoredSegment(spark, name)
+        k = s.find(i)
+        assert s.doc_id(k) == i and s.length(k) == len(ids) and s.find(10**9) is None
+        before = s.bytes_read
+        for at in {0, len(ids) - 1, *(rng.randrange(len(ids)) for _ in range(10))}:
+            assert s.token(k, at) == ids[at]
+        assert s.bytes_read - before < 12 * 300  # never a whole document
+        with pytest.raises(IndexError):
+            s.token(k, len(ids))
+        s.close()
+
+
 def test_length_histogram(spark, library):
     df = frame(spark)
     table = token_counts.suffix_table(tables.written(token_counts.histogram(token_counts.lengths(df, PATH)), "h"))
@@ -110,8 +133,23 @@ def test_bpe_words(tik):
     coder = bpe.WordEncoder(bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken")))
     rng = random.Random(5)
     words = sorted({bytes(rng.choice(b"abcderst") for _ in range(rng.randint(2, 60))) for _ in range(300)})
-    by_query, by_heap = coder._recursive(words), [coder._linked(x) for x in words]
-    assert [x.tolist() for x in by_query] == by_heap and coder.decode(by_query) == words
+    by_query, by_rounds = coder._recursive(words), coder._recursive_long(words)
+    assert [x.tolist() for x in by_query] == [x.tolist() for x in by_rounds] and coder.decode(by_query) == words
+
+
+def test_bpe_words_of_any_length(tik, monkeypatch):
+    """Across the length from which the second recursive query works, and over several runs of it."""
+    import tiktoken
+
+    ranks = bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    some = lambda chars, n: bytes(rng.choice(chars) for _ in range(n))
+    words = [some(b"abcdefghijklmnopqrstuvwxyz", n) for n in (399, 400, 401, 900)] + [b"a" * 5000, b"a" * 40_001, b"ab" * 400 + b"a" * 77, some(b"aeth", 1500), "é漢".encode() * 300, b"ha" * 300 + b"the" * 200]
+    monkeypatch.setattr(bpe, "QUERY_ROWS", 30_000)
+    coder = bpe.WordEncoder(ranks)
+    got = coder.encode(words)
+    assert [x.tolist() for x in got] == [library.encode_ordinary(x.decode()) for x in words] and coder.decode(got) == words
 
 
 @pytest.mark.parametrize("n", (1, 2, 16, 17, 33))
@@ -120,7 +158,11 @@ def test_streams_round_trip(n):
     s = media.parse(media.mux(payload))
     assert s.payload == payload and s.discontinuities == 0 and s.programmes == {1: media.PMT_PID} and s.streams == {media.STREAM_PID: media.PRIVATE_DATA}
     assert [p[1] for p in s.access_points] == list(range(0, len(payload), 576 * 16)) and s.timestamps == [k * 16 * media.UNIT_TICKS for k in range(len(s.timestamps))]
-    assert media.seek(b"", s, s.timestamps[-1] + 5) == s.access_points[-1]
+    assert media.seek(b"", s, s.timestamps[-1] + 5) == s.access_points[-1] and media.points_of(len(payload)) == s.access_points
+    # A packet without a payload stands between others and repeats the counter before it.
+    m, p = media.mux(payload), media.PACKET
+    blank = bytes([0x47, media.STREAM_PID >> 8, media.STREAM_PID & 255, 0x20 | m[2 * p + 3] & 15, 183, 0]).ljust(p, b"\xff")
+    assert media.parse(m[: 3 * p] + blank + m[3 * p :]).discontinuities == 0
 
 
 def test_broken_streams_are_refused():

@@ -142,6 +142,9 @@ def test_quality_on_held_out_rows(spark):
     # What held-out labels say changes nothing.
     flipped = spark.createDataFrame([(i, 1 - q if got[i].held_out else q, t) for i, q, t in labels], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.score for r in quality.quality_scores(frame(spark, texts), flipped).collect()} == {i: r.score for i, r in got.items()}
+    # Nor does what negatives say: they count as unlabelled.
+    alone = spark.createDataFrame([x for x in labels if x[1]], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.score for r in quality.quality_scores(frame(spark, texts), alone).collect()} == {i: r.score for i, r in got.items()}
     kept = {r.doc_id for r in quality.keep_good(frame(spark, texts), known).collect()}
     assert kept == {i for i, r in got.items() if r.predicted}
 
@@ -156,12 +159,24 @@ def test_quality_edges(spark):
     assert quality.keep_good(df, some.limit(0)).count() == len(TEXTS)
 
 
-def test_nnpu_never_overfits_the_negative_part():
+def test_nnpu_on_sums_finds_prior_and_classes():
     rng = np.random.default_rng(1)
-    p, n = rng.normal(2, 1, (300, 3)), rng.normal(-2, 1, (300, 3))
-    u = np.concatenate([rng.normal(2, 1, (150, 3)), n[:150]])
-    m = quality.fit_nnpu(p, u, 0.5)
-    assert (m.margin(p) > 0).mean() > 0.95 and (m.margin(n) < 0).mean() > 0.95
+    p, n = rng.normal(1.5, 1, (400, 3)), rng.normal(-1.5, 1, (400, 3))
+    u = np.concatenate([rng.normal(1.5, 1, (700, 3)), n[:300]])
+    one = lambda x: np.c_[x, np.ones(len(x))]
+    w, prior = np.zeros(4), 0.5
+    for k in range(6):
+        if k == 3:
+            prior = quality.prior_of(quality._binned(one(u) @ w), quality._binned(one(p[:100]) @ w))
+        sums = quality.unlabelled_sums(one(u), w) / len(u)
+        # The sums are the derivatives of the risk.
+        step = 1e-4 * rng.normal(size=4)
+        value = lambda v: np.logaddexp(0, one(u) @ v).mean()
+        assert abs(value(w + step) - (sums[-1, 0] + sums[-2] @ step + step @ sums[:-2] @ step / 2)) < 1e-9
+        w = quality.minimised(w, one(p[100:]), sums[-1, 0], sums[-2], sums[:-2], prior)
+    slope, shift = quality.calibrated(quality._binned(one(u) @ w), one(p[:100]) @ w, prior)
+    score = lambda x: quality._sigmoid(slope * (one(x) @ w) + shift)
+    assert abs(prior - 0.7) < 0.06 and (score(p) > 0.5).mean() > 0.95 and (score(n) < 0.5).mean() > 0.9 and abs(score(u).mean() - prior) < 0.01
 
 
 def test_personal_data_matches_plain_patterns(spark):
