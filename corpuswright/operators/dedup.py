@@ -25,25 +25,34 @@ def coefficients(n: int = PERMUTATIONS, seed: int = 42) -> list[tuple[int, int]]
     return [(1 + number(f"a{seed}:{i}") % (PRIME - 1), number(f"b{seed}:{i}") % PRIME) for i in range(n)]
 
 
+def shingle_hashes(shingles: Column) -> Column:
+    """The first 31 bits of each shingle's md5, made where the text is. Repeats do no harm to minima."""
+    return F.transform(shingles, lambda x: F.shiftright(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"), 1))
+
+
+def _least(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minima of (a h + b) mod PRIME. As PRIME is 2^31 - 1, the remainder is a sum of 31-bit halves."""
+    low, p = np.full(len(a), PRIME, np.uint64), np.uint64(PRIME)
+    for k in range(0, len(h), 256):
+        x = h[k : k + 256, None] * a + b
+        for _ in range(2):
+            x = (x & p) + (x >> np.uint64(31))
+        np.minimum(low, np.where(x == p, np.uint64(0), x).min(axis=0), out=low)
+    return low
+
+
 def signatures(df: DataFrame, shingles: Column, n: int = PERMUTATIONS, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """key, signature: array<long>, null for an empty set. A shingle's hash is the first 31 bits of its md5."""
-    ab = np.array(coefficients(n, seed), np.uint64)
+    """key, signature: array<long>, null for an empty set. Only hashes leave the engine, never shingles."""
+    a, b = np.array(coefficients(n, seed), np.uint64).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for s in b.column(1).to_pylist():
-                if not s:
-                    out.append(None)
-                    continue
-                h = np.fromiter((int.from_bytes(hashlib.md5(x.encode()).digest()[:4]) >> 1 for x in s), np.uint64, len(s))
-                low = np.full(n, PRIME, np.uint64)
-                for k in range(0, len(h), 1024):
-                    np.minimum(low, ((h[k : k + 1024, None] * ab[:, 0] + ab[:, 1]) % np.uint64(PRIME)).min(axis=0), out=low)
-                out.append(low.astype(np.int64))
-            yield pa.RecordBatch.from_pydict({key: b.column(0), "signature": pa.array(out, pa.list_(pa.int64()))})
-
-    return df.select(F.col(key), F.array_distinct(shingles).alias("s")).mapInArrow(run, f"{key} long, signature array<long>")
+        for batch in batches:
+            lists = batch.column(1)
+            flat, cuts = lists.values.to_numpy().astype(np.uint64), lists.offsets.to_numpy()
+            out = [_least(flat[i:j], a, b).astype(np.int64) if j > i else None for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({key: batch.column(0), "signature": pa.array(out, pa.list_(pa.int64()))})
+
+    return df.select(F.col(key), shingle_hashes(shingles).alias("h")).mapInArrow(run, f"{key} long, signature array<long>")
 
 
 def band_keys(sig: DataFrame, bands: int = BANDS, n: int = PERMUTATIONS, key: str = "doc_id") -> DataFrame:
@@ -80,42 +89,89 @@ def components(rows: DataFrame, key: str = "doc_id", most_rounds: int = 60) -> D
     raise RuntimeError("components have not settled")
 
 
+#: After so many rounds, what is left (chains in the order of keys) is settled one component at a time.
+ROUNDS = 30
+
+
+def _met(links: DataFrame, state: DataFrame, sizes: DataFrame, total: int, key: str, **least: Column) -> DataFrame:
+    """links (key, b) of documents in state, with minima over the documents of each bucket. A bucket of any size
+    is a partial aggregate, and its minima reach its documents by broadcast: see tables.looked_up."""
+    rows = links.join(state.hint("merge"), key)
+    per = rows.groupBy("b").agg(*[F.min(c).alias(n) for n, c in least.items()]).join(sizes.hint("merge"), "b")
+    return tables.looked_up(rows, per, ["b"], "n", total, [key])
+
+
+def seeds(links: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """key, seed (whether it begins a cluster), and the documents that ROUNDS rounds leave open. links: key, b, written.
+
+    A document begins a cluster if no smaller one that shares a bucket with it does. So in each round those that
+    are the least open one in all of their buckets do, and what shares a bucket with them is decided."""
+    total = links.count()
+    sizes = tables.written(links.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    open_ = tables.written(links.select(key).distinct(), "open")
+    decided = None
+    for _ in range(ROUNDS):
+        met = _met(links, open_, sizes, total, key, least=F.col(key))
+        new = tables.written(met.groupBy(key).agg(F.min(F.col("least") == F.col(key)).alias("seed")).where("seed"), "seeds")
+        # Open ones that share a bucket with a new seed are its own or an earlier one's.
+        state = open_.join(new.hint("merge"), key, "left").select(key, F.coalesce("seed", F.lit(False)).alias("seed"))
+        met = _met(links, state, sizes, total, key, near=F.when(F.col("seed"), F.col(key)))
+        gone = tables.written(met.groupBy(key).agg(F.max("seed").alias("seed"), F.min("near").alias("near")).where("near IS NOT NULL").select(key, "seed"), "decided")
+        left = tables.written(open_.join(gone.hint("merge"), key, "left_anti"), "open")
+        tables.drop(open_, new)
+        decided = gone if decided is None else decided.unionByName(gone)
+        open_ = left
+        if open_.isEmpty():
+            break
+    return decided, open_
+
+
+def _settled(part: DataFrame, key: str) -> DataFrame:
+    """key, seed of the open documents of links (key, b, component), each component in one task."""
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, list] = {}
+        for k, b in zip(pdf[key], pdf["b"], strict=True):
+            held.setdefault(k, []).append(b)
+        used: set = set()
+        out = []
+        for k in sorted(held):
+            first = used.isdisjoint(held[k])
+            if first:
+                used.update(held[k])
+            out.append((k, first))
+        return pd.DataFrame(out, columns=[key, "seed"])
+
+    return part.groupBy("component").applyInPandas(settle, f"{key} long, seed boolean")
+
+
 def star_clusters(rows: DataFrame, meta: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, cluster_id (-1 if it is alone), keep. rows: key, band, bucket; meta: key, relevance.
 
     In key order, each document not yet in a cluster takes all free documents that share a bucket with it.
-    Of a cluster the most relevant stays, the seed first among equals, then the least key. Components are
-    independent of each other, so each is settled apart."""
-    part = components(rows, key)
-    wide = rows.join(part, key).join(meta.select(key, "relevance"), key)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        where: dict[int, list] = {}
-        held: dict[tuple, list] = {}
-        relevance = dict(zip(pdf[key], pdf["relevance"], strict=True))
-        for k, band, bucket in zip(pdf[key], pdf["band"], pdf["bucket"], strict=True):
-            where.setdefault(k, []).append((band, bucket))
-            held.setdefault((band, bucket), []).append(k)
-        seen, out, used = set(), [], set()
-        for seed in where:
-            if seed in seen:
-                continue
-            group = [seed]
-            seen.add(seed)
-            for bucket in where[seed]:
-                if bucket in used:  # its documents are taken already
-                    continue
-                used.add(bucket)
-                for other in held[bucket]:
-                    if other not in seen:
-                        seen.add(other)
-                        group.append(other)
-            best = max(group, key=lambda k: (relevance[k], k == seed, -k))
-            out += [(k, seed if len(group) > 1 else -1, k == best) for k in group]
-        return pd.DataFrame(out, columns=[key, "cluster_id", "keep"])
-
-    return wide.groupBy("component").applyInPandas(settle, f"{key} long, cluster_id long, keep boolean")
+    Of a cluster the most relevant stays, the seed first among equals, then the least key. A document without
+    a relevance comes last."""
+    links = tables.written(rows.select(key, F.xxhash64("band", "bucket").alias("b")).distinct(), "links")
+    total = links.count()
+    if not total:
+        return rows.select(key, F.lit(-1).cast("long").alias("cluster_id"), F.lit(True).alias("keep")).limit(0)
+    found, left = seeds(links, key)
+    if not left.isEmpty():
+        part = links.join(left, key, "left_semi")
+        part = part.join(components(part.select(key, F.lit(0).alias("band"), F.col("b").alias("bucket")), key), key)
+        found = found.unionByName(_settled(part, key))
+    found = tables.written(found, "found")
+    # Each document belongs to the least seed that shares a bucket with it; a seed to itself.
+    sizes = links.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    met = _met(links, found, sizes, total, key, near=F.when(F.col("seed"), F.col(key)))
+    own = met.groupBy(key).agg(F.max("seed").alias("seed"), F.min("near").alias("near"))
+    own = own.select(key, F.when(F.col("seed"), F.col(key)).otherwise(F.col("near")).alias("cluster_id"), "seed").join(meta.select(key, "relevance"), key, "left")
+    own = tables.written(own, "members")
+    best = F.max_by(key, F.struct(F.coalesce("relevance", F.lit(float("-inf"))), "seed", -F.col(key)))
+    clusters = own.groupBy("cluster_id").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
+    # The number of members is their weight, and tells whether a seed is alone.
+    out = tables.looked_up(own, clusters.withColumn("many", F.col("n") > 1), ["cluster_id"], "n", total, [key])
+    return out.select(key, F.when(F.col("many"), F.col("cluster_id")).otherwise(F.lit(-1)).alias("cluster_id"), (F.col("best") == F.col(key)).alias("keep"))
 
 
 def keep_best(members: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -764,17 +764,30 @@ def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return meta, dedup.star_clusters(dedup.shared_buckets(dedup.band_keys(_signed(spark, d))), meta)
 
 
-@query()
+# Greedy clusters: one document after another, in order, with the list of those that begin a cluster.
+_STARS = (
+    f"{META}, {_SIGS}, shared AS MATERIALIZED (SELECT doc_id, band, bucket FROM bands QUALIFY count(*) OVER (PARTITION BY band, bucket) > 1), "
+    "near AS MATERIALIZED (SELECT a.doc_id, coalesce(list(DISTINCT b.doc_id) FILTER (b.doc_id < a.doc_id), []) AS before FROM shared a JOIN shared b USING (band, bucket) GROUP BY a.doc_id), "
+    "turn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM near), "
+    "walk(k, seeds) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT turn.k, CASE WHEN list_has_any(walk.seeds, turn.before) THEN walk.seeds ELSE list_append(walk.seeds, turn.doc_id) END FROM walk JOIN turn ON turn.k = walk.k + 1), "
+    "seeds AS MATERIALIZED (SELECT seeds FROM walk ORDER BY k DESC LIMIT 1), "
+    f"member AS (SELECT doc_id, CASE WHEN list_contains(seeds, doc_id) THEN doc_id ELSE list_min(list_intersect(before, seeds)) END AS c, {_REL} AS relevance FROM turn JOIN meta USING (doc_id) CROSS JOIN seeds), "
+    "ranked AS (SELECT *, count(*) OVER (PARTITION BY c) AS n, row_number() OVER (PARTITION BY c ORDER BY relevance DESC, (doc_id = c) DESC, doc_id) AS r FROM member), "
+    "clusters AS (SELECT doc_id, CASE WHEN n > 1 THEN c ELSE -1 END AS cluster_id, r = 1 AS keep FROM ranked)"
+)
+
+
+@query(f"WITH RECURSIVE {_STARS} SELECT doc_id, cluster_id, keep FROM clusters")
 def dedup_clusters(spark, d):
     return _clusters(spark, d)[1]
 
 
-@query()
+@query(f"WITH RECURSIVE {_STARS} SELECT doc_id, coalesce(cluster_id, -1) AS dedup_cluster_id FROM meta LEFT JOIN clusters USING (doc_id) WHERE coalesce(keep, true)")
 def dedup_keep(spark, d):
     return dedup.with_clusters(*_clusters(spark, d)).select("doc_id", "dedup_cluster_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {_STARS}, s AS (SELECT (SELECT count(*) FROM documents) AS total, count(DISTINCT cluster_id) FILTER (cluster_id >= 0) AS clusters, count(*) FILTER (NOT keep) AS removed FROM clusters) SELECT *, total - removed AS remaining, round(removed / total::DOUBLE, 6) AS rate FROM s")
 def dedup_stats(spark, d):
     return dedup.cluster_stats(*_clusters(spark, d))
 
@@ -888,7 +901,7 @@ def pack_sequences(spark, d):
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, coalesce(sum(n_chars // 4) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM documents) WHERE run < 20000")
 def pack_budget(spark, d):
-    return selection.in_order_to_budget(_scored(spark, d), F.lit(20_000), ["lang"], most=1_000_000).select("doc_id", "lang")
+    return selection.in_order_to_budget(_scored(spark, d), F.lit(20_000), ["lang"]).select("doc_id", "lang")
 
 
 @query("WITH t AS (SELECT lang AS source, CAST(sum(n_chars // 4) AS BIGINT) AS tokens FROM documents GROUP BY lang), s AS (SELECT *, tokens // 2048 + CASE WHEN tokens % 2048 >= 1024 THEN 1 ELSE 0 END AS sequences FROM t) SELECT source, tokens, sequences, round(sequences * 100.0::DOUBLE / (SELECT sum(sequences) FROM s), 4) AS pct FROM s")

@@ -47,12 +47,31 @@ def test_budget_cut_matches_running_sums(spark, seed):
     assert got == {d[0] for d in order[: cut([d[1] for d in order], target)]}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_budget_cut_cuts_buckets_again(spark, seed, monkeypatch):
+    """Values that pile up, null parts, and buckets that are cut several times."""
+    monkeypatch.setattr(selection, "BUCKETS", 4)
+    monkeypatch.setattr(selection, "SORTED_ROWS", 3)
+    rng = random.Random(seed)
+    data = [(i, rng.randint(0, 50), rng.choice((1.0, 1.0, 0.5, rng.random(), None)), rng.choice(("a", "b", None))) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, token_count long, relevance double, p string")
+    budget = F.when(F.col("p") == "a", 900).when(F.col("p").isNull(), 1300)
+    got = {r[0] for r in rows(selection.relevance_to_budget(df, budget, ["p"]).select("doc_id"))}
+    want = set()
+    for part, most in (("a", 900), (None, 1300)):
+        order = sorted((d for d in data if d[3] == part), key=lambda d: (d[2] is None, -(d[2] or 0), d[0]))
+        want |= {d[0] for d in order[: cut([d[1] for d in order], most)]}
+    assert got == want
+    parts = {r["doc_id"]: r["part"] for r in selection.split(df.select("doc_id"), test=0.1, validation=0.2).collect()}
+    assert [list(parts.values()).count(x) for x in ("test", "validation", "train")] == [30, 61, 209]
+
+
 def test_budget_edges(spark):
     df = spark.createDataFrame([(1, 10, 1.0), (2, 10, 1.0), (3, 10, float("nan")), (4, 10, None)], "doc_id long, token_count long, relevance double")
     pick = lambda t: sorted(r[0] for r in rows(selection.relevance_to_budget(df, F.lit(t)).select("doc_id")))
     assert pick(0) == [1] and pick(9) == [1] and pick(10) == [1, 2] and pick(20) == [1, 2, 3] and pick(100) == [1, 2, 3, 4]
     assert selection.relevance_to_budget(df.limit(0), F.lit(5)).count() == 0
-    strict = selection.in_order_to_budget(df.withColumn("p", F.lit("a")), F.lit(10), ["p"], most=4)
+    strict = selection.in_order_to_budget(df.withColumn("p", F.lit("a")), F.lit(10), ["p"])
     assert [r[0] for r in rows(strict.select("doc_id"))] == [1]
 
 
