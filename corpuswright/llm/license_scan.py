@@ -54,15 +54,11 @@ def _words(cleaned: Column) -> Column:
     return F.filter(F.split(cleaned, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def anchors(templates: dict[str, str]) -> str | None:
+def anchors(words: list[list[str]]) -> str | None:
     """A pattern that every text holds which shares a shingle with a template: the longest word of each
-    template shingle, common ones last. Texts without it can't collide in any band, and are passed by."""
-    import re
-
-    found = set()
-    for text in templates.values():
-        w = re.sub(r"[^\w\s]|_", "", text.lower()).split()
-        found |= {max(w[i : i + WIDTH], key=lambda x: (x not in COMMON, len(x), x)) for i in range(len(w) - WIDTH + 1)}
+    template shingle, common ones last. Texts without it can't collide in any band, and are passed by.
+    words: of each template, cut by the same expressions as the texts."""
+    found = {max(w[i : i + WIDTH], key=lambda x: (x not in COMMON, len(x), x)) for w in words for i in range(len(w) - WIDTH + 1)}
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(found)) + r")(?![\p{L}\p{N}])" if found else None
 
 
@@ -108,13 +104,14 @@ def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, matched, template_shingles: templates of whose distinct shingles a document holds PERCENT.
 
-    A null text holds nothing. Rows that repeat a doc_id count as one document. Other columns are ignored.
-    An empty table gives no rows."""
+    A null text holds nothing. Rows that repeat a doc_id, or have none, count as one document: what they hold
+    together. Texts of any length count whole. Other columns are ignored. An empty table gives no rows."""
     spark = docs.sparkSession
     known = tables.written(template_table(spark, templates), "templates")
     keys = _minima(known.withColumnRenamed("window", "class"), ["license", "class"]).where("window <= class").select("license", "window", "band", "h").distinct()
     keys = tables.written(keys, "keys")
-    pattern = anchors(templates)
+    listed = spark.createDataFrame(sorted(templates.items()), "license string, text string")
+    pattern = anchors([r["words"] for r in listed.select(_words(_cleaned(F.col("text"))).alias("words")).collect()])  # the templates
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _cleaned(F.col(text_col).cast("string")).alias("cleaned"))
     rows = rows.where(F.col("cleaned").rlike(pattern) if pattern else F.lit(False))
     # Written once: what follows is planned on plain columns, not on these expressions repeated.
@@ -125,9 +122,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     found = tables.written(found, "retrieved")
 
     # Exact containment, for the documents retrieved.
-    held = rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("h"))
+    named = found.select(F.col("doc_id").alias("__doc"), F.col("license").alias("__license"))
+    held = rows.join(named.select("__doc").distinct(), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi").select("doc_id", F.explode("shingles").alias("h"))
     wanted = known.select("license", F.col("n").alias("template_shingles"), F.explode("shingles").alias("h"))
-    held = held.join(F.broadcast(wanted) if small else wanted, "h").join(found, ["doc_id", "license"], "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("license") == F.col("__license"))
+    held = held.join(F.broadcast(wanted) if small else wanted, "h").join(named, same, "left_semi")
     counts = held.groupBy("doc_id", "license", "template_shingles").agg(F.count_distinct("h").alias("matched"))
     return counts.where(F.col("matched") * 100 >= F.col("template_shingles") * PERCENT).select("doc_id", "license", "matched", F.col("template_shingles").cast("long").alias("template_shingles"))
 

@@ -353,14 +353,17 @@ def test_decontamination_edges(spark):
 
 def test_licence_scan_matches_exact_containment(spark):
     notice = license_scan.TEMPLATES["BSD-notice"]
-    docs = [(1, "Code.\nReleased under the MIT License.\nMore"), (2, "x " + notice.upper() + " y"), (3, notice.replace("permitted", "allowed")), (4, "Licensed under something else"), (5, None), (6, ""), (7, "z " * 20_000 + "licensed under the apache license version 20")]
+    docs = [(1, "Code.\nReleased under the MIT License.\nMore"), (2, "x " + notice.upper() + " y"), (3, notice.replace("permitted", "allowed")), (4, "Licensed under something else"), (5, None), (6, ""), (7, "z " * 20_000 + "licensed under the apache license version 20"), (None, "by no one: released under the MIT license"), (8, "first half " + " ".join(notice.split()[:9])), (8, " ".join(notice.split()[5:]))]
     import duckdb
     import pandas as pd
 
-    got = sorted((r.doc_id, r.license, r.matched, r.template_shingles) for r in license_scan.scan(frame(spark, docs)).collect())
+    got = [(r.doc_id, r.license, r.matched, r.template_shingles) for r in license_scan.scan(frame(spark, docs)).collect()]
     con = duckdb.connect()
-    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
-    assert got == sorted(con.sql(license_scan.oracle()).fetchall()) and {(1, "MIT"), (2, "BSD-notice"), (7, "Apache-2.0")} <= {g[:2] for g in got}
+    con.register("listed", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.sql("CREATE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text FROM listed")
+    key = lambda g: (g[0] is not None, g)
+    assert sorted(got, key=key) == sorted(con.sql(license_scan.oracle()).fetchall(), key=key)
+    assert {(1, "MIT"), (2, "BSD-notice"), (7, "Apache-2.0"), (None, "MIT"), (8, "BSD-notice")} <= {g[:2] for g in got}
     assert license_scan.scan(frame(spark).limit(0)).count() == 0 and license_scan.scan(frame(spark, docs), {}).count() == 0
 
 
