@@ -103,7 +103,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     # Which items a row holds enough of, wherever their windows stand.
     rows = _keyed(docs, id_col, text_col)
     found = rows.select(*KEY, marked(F.col("text")).alias("m")).select(*KEY, "m", _words(template(F.col("m"))).alias("words"))
-    found = found.where(F.size("words") > 0).select(*KEY, F.explode(F.when(F.size("words") >= WIDTH, _window_hashes(F.col("words"))).otherwise(F.array(_whole(_words(F.col("m")))))).alias("h"))
+    # No filter on words here: it would be pushed below, and cut the words twice. Texts without any match no item.
+    found = found.select(*KEY, F.explode(F.when(F.size("words") >= WIDTH, _window_hashes(F.col("words"))).otherwise(F.array(_whole(_words(F.col("m")))))).alias("h"))
     found = found.join(sided(item_windows), "h").select(*KEY, "item", "at").distinct()
     held = found.groupBy(*KEY, "item").agg(F.count(F.lit(1)).alias("held"))
     known = items.select("item", "item_id", "windows", (F.size("words") < WIDTH).alias("short"))
