@@ -9,9 +9,16 @@ from pyspark.sql.window import Window
 from ..functions import text
 
 
-def repair_language(shards: DataFrame, raw: DataFrame, content: str = "content") -> DataFrame:
-    """Where lang is `unknown` and there is text: the language of the raw row of the same content hash; of several, the last by name."""
-    known = raw.select(text.content_hash(F.col(content)).alias("__hash"), F.col("lang").alias("__lang")).groupBy("__hash").agg(F.max("__lang").alias("__lang"))
+#: The languages whose raw folders tell of a text's language, in the order in which they are read.
+REPAIR_LANGUAGES = ("typescript", "python", "rust", "go", "java", "jupyter")
+
+
+def repair_language(shards: DataFrame, raw: DataFrame, languages: tuple[str, ...] = REPAIR_LANGUAGES, content: str = "content") -> DataFrame:
+    """Where lang is `unknown` and there is text: the language of the raw row of the same content hash. Raw rows of
+    other languages tell nothing; of several languages, the last in the given order stands."""
+    place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang"))
+    known = raw.where(F.col("lang").isin(*languages)).select(text.content_hash(F.col(content)).alias("__hash"), F.col("lang").alias("__lang"), place.alias("__at"))
+    known = known.groupBy("__hash").agg(F.max_by("__lang", "__at").alias("__lang"))
     joined = shards.withColumn("__hash", text.content_hash(F.col(content))).join(known, "__hash", "left")
     fits = (F.col("lang") == "unknown") & (F.length(content) > 0)
     return joined.withColumn("lang", F.when(fits, F.coalesce("__lang", "lang")).otherwise(F.col("lang"))).select(*shards.columns)

@@ -31,6 +31,18 @@ def regression(df: DataFrame, truth: str, guess: str, low: int, high: int) -> Da
     return df.agg(F.round(F.avg((t - g) * (t - g)), 6).alias("mse"), F.round(F.avg(F.abs(t - g)), 6).alias("mae"), F.round(F.avg((level == t).cast("double")), 6).alias("accuracy"))
 
 
+def by_level(df: DataFrame, truth: str, guess: str, low: int, high: int) -> DataFrame:
+    """Of each level from low to high: precision, recall and F1 of the rounded and clipped guess, and support."""
+    level = F.greatest(F.lit(low), F.least(F.lit(high), F.rint(F.col(guess).cast("double")).cast("int")))
+    cells = df.where(F.col(truth).isNotNull()).select(F.col(truth).cast("int").alias("t"), level.alias("g")).groupBy("t", "g").agg(F.count(F.lit(1)).alias("n"))
+    each = df.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("level"))
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    t, g = F.col("t") == F.col("level"), F.col("g") == F.col("level")
+    per = each.join(F.broadcast(cells), t | g, "left").groupBy("level").agg(count(t & g).alias("hit"), count(t).alias("support"), count(g).alias("found"))  # levels x levels cells
+    scored = per.select("level", _safe(F.col("hit"), F.col("found")).alias("precision"), _safe(F.col("hit"), F.col("support")).alias("recall"), _safe(2.0 * F.col("hit"), F.col("support") + F.col("found")).alias("f1"), "support")
+    return scored.select("level", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 def _with_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     """Average ranks, from the counts of distinct values: only those are ordered."""
     counts = df.groupBy(x).agg(F.count(F.lit(1)).alias("__n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +22,48 @@ def offsets(df: DataFrame, part: str = "source", key: str = "doc_id", length: st
     before = Window.partitionBy(part).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     heads = rows.groupBy(part, "__block").agg(F.sum(length).alias("__n")).select(part, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
     inside = Window.partitionBy(part, "__block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("__in", F.coalesce(F.sum(length).over(inside), F.lit(0))).join(heads, [part, "__block"])
-    return out.withColumn("start", (F.col("__at") + F.col("__in")).cast("long")).drop("__block", "__in", "__at")
+    heads = heads.select(F.col(part).alias("__part"), F.col("__block").alias("__head"), "__at")
+    same = F.col(part).eqNullSafe(F.col("__part")) & F.col("__block").eqNullSafe(F.col("__head"))  # a null part is one of its own
+    out = rows.withColumn("__in", F.coalesce(F.sum(length).over(inside), F.lit(0))).join(heads, same)
+    return out.withColumn("start", (F.col("__at") + F.col("__in")).cast("long")).drop("__block", "__in", "__at", "__part", "__head")
+
+
+Tokenizer = Callable[[list[str]], list[list[int]]]
+
+
+def tokenized(df: DataFrame, make: Callable[[], Tokenizer], end: int = C.END_OF_TEXT, text: str = "text") -> DataFrame:
+    """df with tokens (array<int>, the end marker included) and n_tokens, by any tokenizer. make builds it once in a
+    task, so that it need not be sent. A null text has its end marker only."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "tokens array<int>", "n_tokens int"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = make()
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                ids = [[*x, end] for x in encode([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])]
+                columns = [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "tokens", "n_tokens"])
+
+    return df.mapInArrow(run, schema)
+
+
+#: Sequences in a shard.
+SHARD_SEQUENCES = 131_072
+
+
+def resharded(df: DataFrame, key: Column, size: int = SHARD_SEQUENCES, seed: int = C.SEED, buckets: int = 4096) -> DataFrame:
+    """shard and place of each sequence, in a random order, with exactly size sequences in every shard but the last.
+
+    The order is by md5, dealt into buckets of its first digits; counts of the buckets before are added to
+    the number within, so that no task holds all rows. buckets: a power of two, 4096 at most."""
+    h = hash_key(key, seed)
+    rows = df.withColumn("__h", h).withColumn("__b", F.floor(F.conv(F.substring(h, 1, 3), 16, 10).cast("int") / (4096 // buckets)).cast("int"))
+    heads = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    heads = heads.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__at"))
+    number = F.row_number().over(Window.partitionBy("__b").orderBy("__h")) - 1
+    out = rows.withColumn("__k", number).join(F.broadcast(heads), "__b").withColumn("__k", F.col("__k") + F.col("__at"))  # buckets rows
+    return out.select(*df.columns, F.floor(F.col("__k") / size).cast("long").alias("shard"), (F.col("__k") % size).cast("long").alias("place"))
 
 
 def pack(df: DataFrame, context: int = C.CONTEXT, end: int = C.END_OF_TEXT, part: str = "source") -> DataFrame:

@@ -32,6 +32,42 @@ def by_value(df: DataFrame, column: str) -> DataFrame:
     return per.join(total).select(column, "docs", "tokens", scores.percent(F.col("tokens"), F.col("all_tokens"), 4).alias("pct"))
 
 
+def by_bin(df: DataFrame, target: float, bins=C.COMPLEXITY_BINS, column: str = "cbin") -> DataFrame:
+    """docs, tokens, their share of all tokens, and each bin's target tokens; a row for bins without rows too."""
+    shares = F.create_map(*[F.lit(x) for b in bins for x in (b[0], float(b[3]))])
+    dim = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(b[0]) for b in bins])).alias(column))
+    per = df.groupBy(column).agg(F.count(F.lit(1)).alias("docs"), F.sum("token_count").alias("tokens"))
+    whole = df.agg(F.coalesce(F.sum("token_count"), F.lit(0)).alias("n")).first()["n"]
+    out = dim.join(per, column, "left").fillna(0, ["docs", "tokens"])
+    pct = scores.percent(F.col("tokens"), F.lit(whole), 4)
+    return out.select(column, "docs", "tokens", pct.alias("pct"), F.round(shares[F.col(column)] * F.lit(float(target)), 4).alias("target"))
+
+
+def slice_report(df: DataFrame, targets: dict[str, int], code_lang: str = "code_lang") -> DataFrame:
+    """A row for each slice, empty ones too: docs and tokens by the slice that a row's language belongs to, means of
+    scores by its own language_slice, and the target."""
+    dim = df.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("language_slice"), F.lit(v).cast("long").alias("target")) for k, v in targets.items()])).alias("s")).select("s.*")
+    sums = df.groupBy(scores.language_slice(F.col(code_lang)).alias("language_slice")).agg(F.count(F.lit(1)).alias("docs"), F.sum("token_count").alias("tokens"))
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 4).alias(f"mean_{c}")
+    means = df.groupBy("language_slice").agg(mean("quality"), mean("structured_data"))
+    return dim.join(sums, "language_slice", "left").join(means, "language_slice", "left").fillna(0, ["docs", "tokens"])
+
+
+def summary(df: DataFrame, thresholds: list[float], scored: tuple[str, ...] = ("complexity",)) -> DataFrame:
+    """One record of a run's statistics: rows, tokens (sum, percentiles), moments of each score, labels and groups,
+    active labels by threshold, and the recommended threshold and floor. Each part is an aggregate of one row."""
+    parts = {
+        "tokens": percentiles(df, "token_count"), **{c: moments(df, c) for c in scored},
+        "recommended": recommended_threshold(multi_label(df, thresholds)), "floor": recommended_floor(df),
+        "labels": by_label(df).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "docs")))).alias("docs")),
+        "multi_label": multi_label(df, thresholds).agg(F.sort_array(F.collect_list(F.struct("threshold", "mean_labels", "pct_0", "pct_1", "pct_2plus", "pct_3plus"))).alias("at")),
+    }
+    out = df.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("all_tokens"))
+    for name, part in parts.items():
+        out = out.crossJoin(part.select(F.struct(*part.columns).alias(name)))  # one row each
+    return out
+
+
 def multi_label(df: DataFrame, thresholds: list[float]) -> DataFrame:
     """For each threshold: mean active labels, and the shares of rows with none, one, two or more, three or more. One scan."""
     aggs = []
@@ -102,6 +138,13 @@ def top(df: DataFrame, column: str, n: int, by: str = "docs") -> DataFrame:
     return sums.orderBy(F.desc(by), column).limit(n)
 
 
+def shares_of_groups(df: DataFrame) -> DataFrame:
+    """Of each topic group: rows, and their share of all rows and of all assignments (a row has several)."""
+    rows = df.select(F.explode("assigned_groups").alias("topic_group")).groupBy("topic_group").agg(F.count(F.lit(1)).alias("docs"))
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("assigned_groups")), F.lit(0)).alias("assigned")).first()
+    return rows.select("topic_group", "docs", scores.percent(F.col("docs"), F.lit(whole["rows"]), 4).alias("pct_docs"), scores.percent(F.col("docs"), F.lit(whole["assigned"]), 4).alias("pct_assigned"))
+
+
 def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     return df.groupBy(row, column).agg(F.count(F.lit(1)).alias("docs"))
 

@@ -333,9 +333,11 @@ def parse_responses(spark, d):
     return _table(spark, d, "events").select(r.alias("r")).select(F.col("r.custom_id").cast("long").alias("event_id"), F.coalesce("r.answer.quality", F.lit(-1)).alias("quality"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS MATERIALIZED (SELECT lang AS part, strlen(text) + 1 AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+walk(part, k, file, size) AS (SELECT part, k, 0::BIGINT, n FROM l WHERE k = 1 UNION ALL SELECT l.part, l.k, CASE WHEN size + n > 500000 THEN file + 1 ELSE file END, CASE WHEN size + n > 500000 THEN n ELSE size + n END FROM walk JOIN l ON l.part = walk.part AND l.k = walk.k + 1)
+SELECT part, file, count(*) AS lines, CAST(sum(n) AS BIGINT) AS bytes FROM walk JOIN l USING (part, k) GROUP BY part, file""")
 def request_files(spark, d):
-    lines = _docs(spark, d).select(F.format_string("%012d", "doc_id").alias("custom_id"), F.to_json(F.struct("doc_id", "text")).alias("line"), "lang")
+    lines = _docs(spark, d).select(F.format_string("%012d", "doc_id").alias("custom_id"), F.col("text").alias("line"), "lang")
     return writers.request_files(lines, 500_000, "lang").groupBy("part", "file").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes"))
 
 
@@ -438,13 +440,13 @@ def head_rows(spark, d):
 # Joins.
 
 
-@query("""WITH k AS (SELECT md5(left(text, 512) || '|' || right(text, 512) || '|' || length(text)) AS h, max(lang) AS known FROM documents WHERE doc_id % 3 <> 0 GROUP BY h),
-s AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE lang END AS lang FROM documents)
+@query("""WITH k AS (SELECT md5(left(text, 512) || '|' || right(text, 512) || '|' || length(text)) AS h, max_by(lang, list_position(['fr', 'de', 'es', 'en'], lang)) AS known FROM documents WHERE lang IN ('fr', 'de', 'es', 'en') GROUP BY h),
+s AS (SELECT doc_id, text, CASE WHEN n_chars % 2 = 0 THEN 'unknown' ELSE lang END AS lang FROM documents)
 SELECT doc_id, CASE WHEN lang = 'unknown' AND length(text) > 0 THEN coalesce(known, lang) ELSE lang END AS lang FROM s LEFT JOIN k ON h = md5(left(text, 512) || '|' || right(text, 512) || '|' || length(text))""")
 def repair_lang(spark, d):
-    docs = _docs(spark, d).select("doc_id", F.col("text").alias("content"), "lang")
-    shards = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "unknown").otherwise(F.col("lang")))
-    return joins.repair_language(shards, docs.where("doc_id % 3 <> 0")).select("doc_id", "lang")
+    docs = _docs(spark, d).select("doc_id", F.col("text").alias("content"), "lang", "n_chars")
+    shards = docs.withColumn("lang", F.when(F.col("n_chars") % 2 == 0, "unknown").otherwise(F.col("lang")))
+    return joins.repair_language(shards, docs, ("fr", "de", "es", "en")).select("doc_id", "lang")
 
 
 @query("SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
@@ -490,9 +492,9 @@ def label_distribution(spark, d):
     return stats.by_label(_web(spark, d))
 
 
-@query(_w("SELECT cbin, count(*) AS docs, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(token_count) * 100.0::DOUBLE / (SELECT sum(token_count) FROM web), 4) AS pct FROM web GROUP BY cbin"))
+@query(_w("SELECT b.cbin, count(doc_id) AS docs, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens, round(coalesce(sum(token_count), 0) * 100.0::DOUBLE / (SELECT sum(token_count) FROM web), 4) AS pct, round(any_value(b.share) * 1000000.0::DOUBLE, 4) AS target FROM (VALUES " + ", ".join(f"('{b[0]}', {b[3]}::DOUBLE)" for b in C.COMPLEXITY_BINS) + ") b(cbin, share) LEFT JOIN web USING (cbin) GROUP BY b.cbin"))
 def bin_distribution(spark, d):
-    return stats.by_value(_web(spark, d), "cbin")
+    return stats.by_bin(_web(spark, d), 1_000_000)
 
 
 def _ml(t: float) -> str:
@@ -534,9 +536,9 @@ def label_overlap_rate(spark, d):
     return stats.co_occurrence_rates(stats.co_occurrence(_web(spark, d)))
 
 
-@query("WITH v AS (SELECT vec_id, unnest(range(0, 6)) AS i, unnest(embedding[1:6]) AS x FROM embeddings) SELECT a.i, b.i AS j, round(corr(a.x::DOUBLE, b.x::DOUBLE), 6) AS corr FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i")
+@query(_meta(" UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(corr(ts[{i + 1}]::DOUBLE, ts[{j + 1}]::DOUBLE), 6) AS corr FROM meta" for i in range(len(C.TOPIC_LABELS)) for j in range(i + 1, len(C.TOPIC_LABELS)))).replace("meta AS (", "meta AS MATERIALIZED ("))
 def label_correlation(spark, d):
-    return stats.correlations(_table(spark, d, "embeddings"), "embedding", 6)
+    return stats.correlations(_scored(spark, d), "topic_scores", len(C.TOPIC_LABELS))
 
 
 def _pivot_sql(value: str) -> str:
@@ -559,6 +561,12 @@ def heatmap_totals(spark, d):
     return stats.totals(_web(spark, d).select(F.explode("assigned_groups").alias("topic_group"), "cbin"), "topic_group", "cbin")
 
 
+@query(_w(f"SELECT topic_group, cbin, count(*) AS docs FROM ({_AG}) GROUP BY topic_group, cbin ORDER BY docs, topic_group, cbin LIMIT 5"))
+def heatmap_bottom_cells(spark, d):
+    cells = stats.contingency(_web(spark, d).select(F.explode("assigned_groups").alias("topic_group"), "cbin"), "topic_group", "cbin")
+    return cells.orderBy("docs", "topic_group", "cbin").limit(5)
+
+
 @query(_w(f"SELECT topic_group, cbin, count(*) AS docs FROM ({_AG}) GROUP BY topic_group, cbin ORDER BY docs DESC, topic_group, cbin LIMIT 10"))
 def heatmap_top_cells(spark, d):
     cells = stats.contingency(_web(spark, d).select(F.explode("assigned_groups").alias("topic_group"), "cbin"), "topic_group", "cbin")
@@ -590,9 +598,27 @@ def top_sources(spark, d):
     return stats.top(_scored(spark, d), "source", 5)
 
 
-@query(_c("SELECT language_slice, count(*) AS docs, CAST(sum(token_count) AS BIGINT) AS tokens, round(avg(quality::DOUBLE), 4) AS mean_quality, round(avg(structured_data::DOUBLE), 4) AS mean_sd FROM code WHERE language_slice IS NOT NULL GROUP BY language_slice"))
+_GOALS = {name: 10_000 * (k + 1) for k, (name, *_) in enumerate(C.SLICES)}
+
+
+@query(_c("SELECT g.language_slice, any_value(g.target) AS target, count(doc_id) AS docs, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens, round(avg(quality::DOUBLE), 4) AS mean_quality, round(avg(structured_data::DOUBLE), 4) AS mean_structured_data FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in _GOALS.items()) + ") g(language_slice, target) LEFT JOIN code USING (language_slice) GROUP BY g.language_slice"))
 def slice_distribution(spark, d):
-    return _code(spark, d).where("language_slice IS NOT NULL").groupBy("language_slice").agg(F.count(F.lit(1)).alias("docs"), F.sum("token_count").alias("tokens"), F.round(F.avg(F.col("quality").cast("double")), 4).alias("mean_quality"), F.round(F.avg(F.col("structured_data").cast("double")), 4).alias("mean_sd"))
+    return stats.slice_report(_code(spark, d), _GOALS)
+
+
+@query(_w(f"SELECT topic_group, count(*) AS docs, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM web), 4) AS pct_docs, round(count(*) * 100.0::DOUBLE / (SELECT sum(len(groups)) FROM web), 4) AS pct_assigned FROM ({_AG}) GROUP BY topic_group"))
+def group_shares(spark, d):
+    return stats.shares_of_groups(_web(spark, d))
+
+
+_SUMMARY_AT = [0.2, 0.3, 0.4]
+
+
+@query(_meta("SELECT count(*) AS docs, CAST(sum(token_count) AS BIGINT) AS all_tokens, CAST(trunc(quantile_cont(token_count, 0.5)) AS BIGINT) AS median_tokens, round(avg(complexity::DOUBLE), 6) AS mean_complexity, count(*) FILTER (ts[1] >= 0.3::FLOAT) AS first_label, round(avg(len(list_filter(ts, lambda x: x >= 0.3::FLOAT))), 4) AS mean_labels FROM meta"))
+def run_summary(spark, d):
+    one = stats.summary(_scored(spark, d), _SUMMARY_AT)
+    first = F.element_at("labels.docs", C.TOPIC_LABELS[0])
+    return one.select("docs", "all_tokens", F.col("tokens.p50").alias("median_tokens"), F.col("complexity.mean").alias("mean_complexity"), first.alias("first_label"), F.element_at("multi_label.at", 2)["mean_labels"].alias("mean_labels"))
 
 
 _RANKED = "('typescript', 'python', 'rust_go_java', 'jupyter')"
@@ -726,7 +752,23 @@ def priority_sample(spark, d):
     return selection.priority_sample(_web(spark, d), _TARGET)[0]
 
 
-@query()
+def _fill_sql() -> str:
+    """Of each group: what it has when its turn is over."""
+    out, taken = [], []
+    for group, labels, share, _ in sorted(C.GROUPS, key=lambda g: g[3]):
+        hit, before = _group_hit(labels), " UNION ALL ".join(f"SELECT doc_id FROM take_{g}" for g in taken) or "SELECT doc_id FROM web WHERE false"
+        taken.append(group)
+        after = f"{before} UNION ALL SELECT doc_id FROM take_{group}"
+        target = f"greatest(0.0, {_TARGET} - coalesce((SELECT sum(token_count) FROM web WHERE doc_id IN ({before})), 0))" if group == "general" else f"{share}::DOUBLE * {_TARGET}"
+        out.append(
+            f"SELECT '{group}' AS topic_group, (SELECT count(*) FROM web WHERE {hit}) AS candidates, {target}::DOUBLE AS target, CAST(coalesce((SELECT sum(token_count) FROM web WHERE {hit} AND doc_id IN ({after})), 0) AS BIGINT) AS tokens, "
+            f"(SELECT r FROM need_{group}) AS r, (SELECT count(*) FROM web WHERE {hit} AND doc_id NOT IN ({before})) AS free"
+        )
+    rows = " UNION ALL ".join(out)
+    return f"SELECT topic_group, candidates, target, tokens, CASE WHEN candidates = 0 THEN 'empty' WHEN r <= 0 THEN 'filled_by_overlap' WHEN free = 0 THEN 'no_candidates' WHEN tokens >= 0.9 * target THEN 'ok' ELSE 'shortfall' END AS status FROM ({rows})"
+
+
+@query(f"WITH {_WEBM}, {_PRIORITY[0]} {_fill_sql()}")
 def group_fill_report(spark, d):
     rows = selection.priority_sample(_web(spark, d), _TARGET)[1]
     return spark.createDataFrame([(r["group"], r["candidates"], float(r["target"]), r["tokens"], r["status"]) for r in rows], "topic_group string, candidates long, target double, tokens long, status string")
@@ -834,6 +876,11 @@ def regression_metrics(spark, d):
     return metrics.regression(_judged(spark, d), "label", "quality", 1, 4)
 
 
+@query(f"WITH {META}, {_J}, x AS (SELECT label AS t, CAST(greatest(0, least(4, round_even(quality::DOUBLE, 0))) AS INT) AS g FROM j), n AS (SELECT level, count(*) FILTER (t = level AND g = level) AS hit, count(*) FILTER (t = level) AS support, count(*) FILTER (g = level) AS found FROM range(0, 5) r(level), x GROUP BY level) SELECT level, coalesce(round(hit / nullif(found, 0)::DOUBLE, 6), 0) AS precision, coalesce(round(hit / nullif(support, 0)::DOUBLE, 6), 0) AS recall, coalesce(round(2 * hit / nullif(support + found, 0)::DOUBLE, 6), 0) AS f1, support FROM n")
+def level_report(spark, d):
+    return metrics.by_level(_judged(spark, d), "label", "quality", 0, 4)
+
+
 _RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
 
 
@@ -909,6 +956,11 @@ def mix_report(spark, d):
     return packing.mix_report(_docs(spark, d).select(F.col("lang").alias("source"), F.floor(F.col("n_chars") / 4).alias("n_tokens")))
 
 
+@query(f"SELECT doc_id, CAST(k // 30 AS BIGINT) AS shard, k % 30 AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY {_HASH}) - 1 AS k FROM documents)")
+def exact_reshard(spark, d):
+    return packing.resharded(_docs(spark, d).select("doc_id"), F.col("doc_id"), 30)
+
+
 @query(f"SELECT doc_id, CAST(s AS BIGINT) AS shard, row_number() OVER (PARTITION BY s ORDER BY {_HASH}) - 1 AS place FROM (SELECT doc_id, ('0x' || substr({_HASH}, 1, 8))::BIGINT % 7 AS s FROM documents)")
 def global_shuffle(spark, d):
     return packing.shuffled(_docs(spark, d).select("doc_id"), F.col("doc_id"), 7)

@@ -68,6 +68,15 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
 
 
+def with_overrides(sources: list[dict], overrides: dict[str, str | None]) -> list[dict]:
+    """Sources (name, repo, ...) in which a given repo takes the place of the default; None leaves it. A name that no
+    source has is an error."""
+    unknown = set(overrides) - {s["name"] for s in sources}
+    if unknown:
+        raise ValueError(f"no sources named {', '.join(sorted(unknown))}")
+    return [{**s, "repo": overrides.get(s["name"]) or s["repo"]} for s in sources]
+
+
 def row_count(df: DataFrame) -> int:
     """From footers alone, for parquet."""
     return df.count()

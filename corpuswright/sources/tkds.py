@@ -26,6 +26,8 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 def pack_shard(tokens: np.ndarray, vocabulary: int) -> bytes:
     n, context = tokens.shape
+    if tokens.size and (tokens.min() < 0 or tokens.max() > 0xFFFF):
+        raise ValueError(f"token ids from {tokens.min()} to {tokens.max()} don't fit into 16 bits")
     return struct.pack(HEADER, MAGIC, VERSION, context, n, vocabulary) + tokens.astype("<u2").tobytes()
 
 

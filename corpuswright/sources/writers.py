@@ -18,9 +18,36 @@ def write_shards(df: DataFrame, path: str, schema: T.StructType | None = None, r
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def merge_shards(df: DataFrame, path: str, drop: tuple[str, ...] = ("dedup_cluster_id",)) -> None:
-    """Few large files: adaptive execution joins and splits partitions to its advisory size."""
-    df.drop(*drop).hint("rebalance").write.mode("overwrite").parquet(path)
+#: Bytes of a merged file.
+MERGED_BYTES = 500_000_000
+
+
+def merge_shards(df: DataFrame, path: str, drop: tuple[str, ...] = ("dedup_cluster_id",), size: int = MERGED_BYTES) -> None:
+    """Few large files: adaptive execution joins and splits partitions to size bytes of shuffled data each."""
+    spark, name = df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        df.drop(*drop).hint("rebalance").write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def save_selection(chosen: DataFrame, path: str, key: str = "doc_id") -> None:
+    """The ids that a selection chose, so that a write can be taken up again without choosing anew."""
+    chosen.select(key).write.mode("overwrite").parquet(path)
+
+
+def resume_write(wide: DataFrame, selection: str, path: str, rows: int = 1_000_000, key: str = "doc_id") -> int:
+    """Write the rows of a saved selection; what an earlier attempt left is cleared. Returns the rows written, and
+    raises if a chosen id is missing."""
+    ids = wide.sparkSession.read.parquet(selection).distinct()
+    wide.join(ids, key, "left_semi").write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+    back = wide.sparkSession.read.parquet(path)
+    missing = ids.join(back.select(key), key, "left_anti").count()
+    if missing:
+        raise RuntimeError(f"{path} lacks {missing} of the rows chosen")
+    return back.count()
 
 
 def validated_write(df: DataFrame, path: str) -> int:
@@ -89,13 +116,23 @@ def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def swap(spark: SparkSession, new: str, old: str) -> None:
-    """Put a rewritten folder in the old one's place: a plan can't overwrite what it reads."""
+    """Put a rewritten folder in the old one's place: a plan can't overwrite what it reads. The old one is set
+    aside first and goes only when the new one stands; should that fail, it comes back."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     a, b = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(old)
     fs = b.getFileSystem(conf)
-    fs.delete(b, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{old.rstrip('/')}.old")
+    if not fs.exists(a):
+        raise RuntimeError(f"{new} does not exist")
+    fs.delete(aside, True)
+    had = fs.exists(b)
+    if had and not fs.rename(b, aside):
+        raise RuntimeError(f"{old} could not be set aside")
     if not fs.rename(a, b):
+        if had:
+            fs.rename(aside, b)
         raise RuntimeError(f"{new} could not take the place of {old}")
+    fs.delete(aside, True)
 
 
 def table_markdown(df: DataFrame, most: int = 1000) -> str:

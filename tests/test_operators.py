@@ -215,3 +215,93 @@ def test_histogram_closes_the_last_bin(spark):
 
 def test_checkpoints():
     assert packing.retained_checkpoints([1000, 10_000, 11_000, 12_000, 13_000]) == [10_000, 11_000, 12_000, 13_000]
+
+
+def test_packing_keeps_null_sources(spark):
+    df = spark.createDataFrame([(1, None, [1] * 5), (2, None, [2] * 5), (3, "a", [3] * 4)], "doc_id long, source string, tokens array<int>").withColumn("n_tokens", F.size("tokens"))
+    got = {(r["source"], r["seq"]): r["tokens"] for r in packing.pack(packing.offsets(df), context=4, end=0).collect()}
+    assert got == {(None, 0): [1, 1, 1, 1], (None, 1): [1, 2, 2, 2], (None, 2): [2, 2, 0, 0], ("a", 0): [3, 3, 3, 3]}
+
+
+def test_any_tokenizer_packs(spark):
+    df = spark.createDataFrame([(1, "s", "abc"), (2, "s", None)], "doc_id long, source string, text string")
+    got = packing.tokenized(df, lambda: lambda texts: [list(t.encode()) for t in texts], end=7)
+    assert {r["doc_id"]: (r["tokens"], r["n_tokens"]) for r in got.collect()} == {1: ([97, 98, 99, 7], 4), 2: ([7], 1)}
+
+
+def test_repair_takes_the_last_language_in_the_order(spark):
+    raw = spark.createDataFrame([("same", "typescript"), ("same", "java"), ("same", "klingon"), ("other", "klingon")], "content string, lang string")
+    shards = spark.createDataFrame([("same", "unknown"), ("same", "c"), ("other", "unknown"), ("", "unknown")], "content string, lang string")
+    assert sorted(map(tuple, joins.repair_language(shards, raw).collect())) == [("", "unknown"), ("other", "unknown"), ("same", "c"), ("same", "java")]
+
+
+def test_token_ids_beyond_16_bits_are_refused():
+    import numpy as np
+
+    from corpuswright.sources import tkds
+
+    with pytest.raises(ValueError, match="16 bits"):
+        tkds.pack_shard(np.array([[1, 70_000]]), 100_000)
+
+
+def test_selection_is_resumed(spark, tmp_path):
+    from corpuswright.sources import readers, writers
+
+    wide = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "doc_id long, text string")
+    ids, out = str(tmp_path / "ids"), str(tmp_path / "out")
+    writers.save_selection(wide.where("doc_id < 4"), ids)
+    wide.write.parquet(out)  # what an earlier attempt left
+    assert writers.resume_write(wide, ids, out) == 4 and spark.read.parquet(out).count() == 4
+    with pytest.raises(RuntimeError, match="lacks 2"):
+        writers.resume_write(wide.where("doc_id < 2"), ids, out)
+    writers.write_shards(wide, str(tmp_path / "new"))
+    writers.swap(spark, str(tmp_path / "new"), out)
+    assert spark.read.parquet(out).count() == 10 and not (tmp_path / "out.old").exists() and not (tmp_path / "new").exists()
+    with pytest.raises(RuntimeError):
+        writers.swap(spark, str(tmp_path / "none"), out)
+    assert spark.read.parquet(out).count() == 10
+    writers.merge_shards(wide.repartition(5), str(tmp_path / "merged"))
+    assert len(list((tmp_path / "merged").glob("*.parquet"))) == 1
+    sources = [{"name": "a", "repo": "x/a"}, {"name": "b", "repo": "x/b"}]
+    assert readers.with_overrides(sources, {"a": "y/a", "b": None}) == [{"name": "a", "repo": "y/a"}, {"name": "b", "repo": "x/b"}]
+    with pytest.raises(ValueError):
+        readers.with_overrides(sources, {"c": "z"})
+
+
+def test_streamed_packing(spark, tmp_path):
+    from corpuswright.streaming.packer import packed_stream
+
+    def feed(k, data):
+        spark.createDataFrame(data, "source string, tokens array<int>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("source string, tokens array<int>").parquet(str(tmp_path / "in"))
+        q = packed_stream(stream, context=4).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+        q.awaitTermination(120)
+        return sorted((r.source or "", r.seq, r.tokens) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert feed(1, [("a", [1, 1, 1]), ("a", [2, 2, 2]), (None, [9])]) == [("a", 0, [1, 1, 1, 2])]
+    # The buffer goes on over a restart.
+    assert feed(2, [("a", [3, 3, 3]), (None, [8, 8, 8, 8])]) == [("", 0, [9, 8, 8, 8]), ("a", 0, [1, 1, 1, 2]), ("a", 1, [2, 2, 3, 3])]
+
+
+def test_star_clusters_of_a_chain_match_the_greedy_rule(spark, monkeypatch):
+    """Chains in the order of keys, longer than the rounds reach."""
+    monkeypatch.setattr(dedup, "ROUNDS", 2)
+    rng = random.Random(2)
+    data = [(i, 0, f"b{i}") for i in range(12)] + [(i + 1, 0, f"b{i}") for i in range(12)] + [(rng.randrange(100, 130), 1, f"c{rng.randrange(12)}") for _ in range(60)]
+    data = sorted(set(data))
+    keys = spark.createDataFrame(data, "doc_id long, band int, bucket string")
+    meta = spark.createDataFrame([(i, float(i % 7)) for i in sorted({d[0] for d in data})], "doc_id long, relevance double")
+    held, members = {}, {}
+    for i, band, b in data:
+        held.setdefault(i, set()).add((band, b))
+    free = sorted(held)
+    while free:
+        first = free[0]
+        members[first] = [k for k in free if k == first or held[k] & held[first]]
+        free = [k for k in free if k not in members[first]]
+    want = {}
+    for first, group in members.items():
+        best = max(group, key=lambda k: (k % 7, k == first, -k))
+        want |= {k: (first if len(group) > 1 else -1, k == best) for k in group}
+    got = {r["doc_id"]: (r["cluster_id"], r["keep"]) for r in dedup.star_clusters(keys, meta).collect()}
+    assert got == want
