@@ -1,5 +1,6 @@
 """Fixed values of the curation programmes: labels, groups, bins, slices, budgets."""
 
+# Fixed values.
 TOPIC_LABELS = (
     "mathematics_statistics", "computer_science_software_engineering", "machine_learning_ai", "physical_sciences", "life_sciences_biology",
     "medicine_health", "engineering_technology", "business_economics", "law_government", "social_sciences", "history_geography",
@@ -33,6 +34,7 @@ WEB_TARGET_TOKENS = 23_500_000_000
 QUALITY_FLOOR, QUALITY_BOOST, ZLIB_FLOOR = 1.5, 3.5, 0.10
 SEED = 42
 
+# Fixed values.
 CONTENT_TYPES = ("library", "application", "script", "test", "config", "data", "generated", "tutorial", "other")
 CONTENT_GROUPS = {"library": "library", "application": "application", "script": "script", "test": "test"}
 LOW_VALUE = "low_value"
@@ -47,14 +49,17 @@ SLICES = (
     ("github_issues", 500_000_000, "keyword_filter", 0.0, ("github-issues-filtered-structured",)),
     ("general_code", 1_000_000_000, "light_filter", 0.0, ()),
 )
-GENERAL_LANGUAGES = tuple(
-    "ada agda alloy antlr applescript assembly augeas awk batchfile bluespec c c-sharp clojure cmake coffeescript common-lisp cpp css cuda dart "
-    "dockerfile elixir elm emacs-lisp erlang f-sharp fortran glsl groovy haskell html idris isabelle java-server-pages javascript julia "
-    "jupyter-structured-clean-dedup kotlin lean literate-agda literate-coffeescript literate-haskell lua makefile maple markdown mathematica matlab "
-    "ocaml pascal perl php powershell prolog r racket restructuredtext rmarkdown ruby sas scala scheme shell smalltalk solidity sparql stan "
-    "standard-ml stata systemverilog tcl tcsh tex verilog vhdl visual-basic yacc zig".split()
-)
+# Fixed values.
+GENERAL_LANGUAGES = (
+    "ada", "agda", "alloy", "antlr", "applescript", "assembly", "augeas", "awk", "batchfile", "bluespec", "c", "c-sharp", "clojure", "cmake",
+    "coffeescript", "common-lisp", "cpp", "css", "cuda", "dart", "dockerfile", "elixir", "elm", "emacs-lisp", "erlang", "f-sharp", "fortran", "glsl",
+    "groovy", "haskell", "html", "idris", "isabelle", "java-server-pages", "javascript", "julia", "jupyter-structured-clean-dedup", "kotlin", "lean",
+    "literate-agda", "literate-coffeescript", "literate-haskell", "lua", "makefile", "maple", "markdown", "mathematica", "matlab", "ocaml", "pascal",
+    "perl", "php", "powershell", "prolog", "r", "racket", "restructuredtext", "rmarkdown", "ruby", "sas", "scala", "scheme", "shell", "smalltalk",
+    "solidity", "sparql", "stan", "standard-ml", "stata", "systemverilog", "tcl", "tcsh", "tex", "verilog", "vhdl", "visual-basic", "yacc", "zig",
+)
 
+# Fixed values.
 KEYWORDS = (
     "json", "schema", "api endpoint", "serializ", "deserializ", "protobuf", "grpc", "graphql", "openapi", "swagger", "rest api", "restful",
     "json schema", "json parse", "json format", "yaml", "xml schema", "xsd", "struct", "interface", "marshal", "unmarshal", "payload",

@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"[\x09-\x0D\x20]+"
+#: All that a plain split of Unicode text takes for white space.
+WHITE = "\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{WHITE}]+"
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
 LEAST_CHARS = 100
 
@@ -80,7 +82,7 @@ def word_shingles(text: Column, width: int = 13) -> Column:
 
 
 def line_shingles(text: Column, width: int = 5) -> Column:
-    lines = F.transform(F.split(text, LINE_ENDS), lambda x: F.regexp_replace(x, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))
+    lines = F.transform(F.split(text, LINE_ENDS), lambda x: F.regexp_replace(x, f"^{SPACE}|{SPACE}$", ""))
     return _shingles(F.filter(lines, lambda x: x != ""), width, "\n")
 
 

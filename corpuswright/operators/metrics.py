@@ -43,11 +43,22 @@ def by_level(df: DataFrame, truth: str, guess: str, low: int, high: int) -> Data
     return scored.select("level", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+RANK_BLOCKS = 4096
+
+
 def _with_rank(df: DataFrame, x: str, name: str) -> DataFrame:
-    """Average ranks, from the counts of distinct values: only those are ordered."""
+    """Average ranks, from the counts of distinct values. These are dealt into blocks of their range, and counts of the
+    blocks before are added, so that no task orders all of them."""
     counts = df.groupBy(x).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(x, (before + (F.col("__n") + 1) / 2.0).alias(name)), x)
+    span = counts.agg(F.min(x).cast("double").alias("low"), F.max(x).cast("double").alias("high")).first()
+    low, width = span["low"] or 0.0, max((span["high"] or 0.0) - (span["low"] or 0.0), 1e-300)
+    counts = counts.withColumn("__block", F.least(F.lit(RANK_BLOCKS - 1), F.floor((F.col(x).cast("double") - low) / width * RANK_BLOCKS)).cast("int"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.groupBy("__block").agg(F.sum("__n").alias("__m"))
+    heads = heads.select("__block", F.coalesce(F.sum("__m").over(earlier.orderBy("__block")), F.lit(0)).alias("__at"))  # RANK_BLOCKS rows
+    before = F.coalesce(F.sum("__n").over(earlier.partitionBy("__block").orderBy(x)), F.lit(0))
+    ranks = counts.withColumn("__in", before).join(F.broadcast(heads), "__block")
+    return df.join(ranks.select(x, (F.col("__at") + F.col("__in") + (F.col("__n") + 1) / 2.0).alias(name)), x)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -247,14 +247,37 @@ def sample_per_key(df: DataFrame, by: str, n: int, seed: int = C.SEED, key: str
     return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
 
 
+def numbered(df: DataFrame, by: str, order: Order, name: str, blocks: int = BUCKETS) -> DataFrame:
+    """df with the number (from 0) of each row in its value of by.
+
+    Rows are dealt into blocks of the range of both numbers, and counts of the blocks before are added to the number
+    within one, so that no task holds all rows of a value. Numbers that pile up make large blocks."""
+    rows = df.withColumns({"__k1": order.first, "__k2": order.second})
+    span = rows.agg(F.min("__k1").alias("a"), F.max("__k1").alias("b"), F.min("__k2").alias("c"), F.max("__k2").alias("d")).first()
+    if span["a"] is None:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    # A single first number leaves the blocks to the second one.
+    x, low, high = ("__k1", span["a"], span["b"]) if span["a"] < span["b"] else ("__k2", span["c"], span["d"])
+    block = F.least(F.lit(blocks - 1), F.floor((F.col(x) - low) / max(high - low, 1e-300) * blocks))
+    rows = rows.withColumn("__block", block.cast("int"))
+    heads = rows.groupBy(by, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__by").orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(F.col(by).alias("__by"), F.col("__block").alias("__head"), "__n").withColumn("__at", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(by, "__block").orderBy("__k1", "__k2")) - 1
+    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__head"))
+    return rows.withColumn("__k", number).join(heads, same).select(*df.columns, (F.col("__k") + F.col("__at")).cast("long").alias(name))
+
+
 def interleaved(df: DataFrame, by: str = "lang", block: int = 50_000, key: str = "doc_id") -> DataFrame:
     """turn: the round in which a row is read when each value of by gives block rows a round."""
-    return df.withColumn("turn", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1) / block).cast("long"))
+    rows = numbered(df, by, Order(F.lit(0.0), F.col(key).cast("long")), "turn")
+    return rows.withColumn("turn", F.floor(F.col("turn") / block).cast("long"))
 
 
 def length_batches(df: DataFrame, length: Column, size: int, by: str, key: str = "doc_id") -> DataFrame:
     """batch: of rows of like length, in each value of by."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(length, key)) - 1) / size).cast("long"))
+    rows = numbered(df, by, Order(length.cast("double"), F.col(key).cast("long")), "batch")
+    return rows.withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def split(df: DataFrame, by: str | None = None, test: float = 0.1, validation: float = 0.1, seed: int = C.SEED, key: str = "doc_id") -> DataFrame:

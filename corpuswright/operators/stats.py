@@ -85,10 +85,12 @@ def groups_by_threshold(df: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def co_occurrence(df: DataFrame, threshold: float = C.TOPIC_THRESHOLD) -> DataFrame:
-    """i, j, docs: 17 x 17 counts from one aggregate."""
+    """i, j, docs: 17 x 17 counts. Rows are counted by their set of labels, as a number; the sets make the cells."""
     n = len(C.TOPIC_LABELS)
-    hot = [F.get("topic_scores", i) >= scores.f32(threshold) for i in range(n)]
-    upper = df.agg(*[F.sum((hot[i] & hot[j]).cast("long")).alias(f"{i}_{j}") for i in range(n) for j in range(i, n)])
+    bits = F.transform("topic_scores", lambda x, i: F.when(x >= scores.f32(threshold), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
+    sets = df.groupBy(F.aggregate(bits, F.lit(0), lambda a, x: a + x).alias("set")).agg(F.count(F.lit(1)).alias("k"))
+    both = lambda i, j: (F.col("set").bitwiseAND(1 << i | 1 << j) == (1 << i | 1 << j))
+    upper = sets.agg(*[F.coalesce(F.sum(F.when(both(i, j), F.col("k"))), F.lit(0)).alias(f"{i}_{j}") for i in range(n) for j in range(i, n)])
     cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"{min(i, j)}_{max(i, j)}").alias("docs")) for i in range(n) for j in range(n)]
     return upper.select(F.inline(F.array(*cells)))
 

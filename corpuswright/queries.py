@@ -88,7 +88,7 @@ _CREL = "(CAST(structured_data / 3.0::FLOAT AS FLOAT)::DOUBLE + CASE WHEN qualit
 _SLICE = "CASE lower(code_lang) " + " ".join(f"WHEN '{lang}' THEN '{s}'" for lang, s in C.slice_languages().items() if lang in {x.lower() for x in scoring.CODE_LANGUAGES}) + " END"
 CODE = META + f", code AS (SELECT *, {_SLICE} AS language_slice, {_CREL} AS relevance FROM meta)"
 _HASH = "md5(doc_id || ':42')"
-_WORDS = r"list_filter(string_split_regex({}, '[\x09-\x0D\x20]+'), lambda w: w <> '')"
+_WORDS = f"list_filter(string_split_regex({{}}, '{text.SPACE}'), lambda w: w <> '')"
 
 
 def _meta(select: str) -> str:
@@ -108,12 +108,12 @@ def _c(select: str) -> str:
 
 @query("SELECT doc_id, lang FROM documents")
 def scan_projection(spark, d):
-    return _docs(spark, d).select("doc_id", "lang")
+    return readers.scan(spark, f"{d}/documents.parquet", ["doc_id", "lang"])
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE source IN ('src0', 'src3')")
 def scan_pushdown_source(spark, d):
-    return _docs(spark, d).where(F.col("source").isin("src0", "src3")).select("doc_id", "n_chars")
+    return readers.scan(spark, f"{d}/documents.parquet", ["doc_id", "n_chars"], ["src0", "src3"], "source")
 
 
 @query("SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 50 AS BIGINT) AS turn FROM documents")

@@ -10,11 +10,11 @@ from .. import constants as C
 from ..operators.selection import hash_key
 
 
-def scan(spark: SparkSession, path: str, columns: list[str] | None = None, dumps: list[str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, dumps: list[str] | None = None, dump: str = "dump") -> DataFrame:
     """A parquet folder, recursively; columns are pruned and dumps pushed into the scan. Nulls of token_count are 0."""
     df = spark.read.option("recursiveFileLookup", True).parquet(path)
     if dumps:
-        df = df.where(F.col("dump").isin(dumps))
+        df = df.where(F.col(dump).isin(dumps))
     if columns:
         df = df.select(*columns)
     return df.withColumn("token_count", F.coalesce("token_count", F.lit(0))) if "token_count" in df.columns else df
