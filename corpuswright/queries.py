@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import constants as C
+from . import tables
 from .functions import scores, text
 from .operators import dedup, filters, joins, metrics, packing, selection, stats
 from .plans import curation, scoring
-from .sources import readers, writers
+from .sources import readers, tkds, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -940,12 +942,101 @@ def _tokens(df: DataFrame, n: int = 64) -> DataFrame:
 _TOK = f"tok AS MATERIALIZED (SELECT doc_id, lang AS source, list_append(list_transform({_WORDS.format('text')}, lambda w: ('0x' || substr(md5(w), 1, 4))::BIGINT % 50000), 50256) AS tokens FROM documents)"
 
 
-@query(f"WITH {_TOK}, flat AS MATERIALIZED (SELECT source, doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS k FROM tok), spots AS (SELECT source, t, row_number() OVER (PARTITION BY source ORDER BY doc_id, k) - 1 AS spot FROM flat), seqs AS (SELECT source, spot // 256 AS seq, list(t ORDER BY spot) AS l FROM spots GROUP BY source, spot // 256) SELECT source, seq, md5(array_to_string(list_concat(l, list_transform(range(0, 256 - len(l)), lambda i: 50256)), ',')) AS digest FROM seqs WHERE len(l) >= 128")
+_PACKED = f"WITH {_TOK}, flat AS MATERIALIZED (SELECT source, doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS k FROM tok), spots AS (SELECT source, t, row_number() OVER (PARTITION BY source ORDER BY doc_id, k) - 1 AS spot FROM flat), seqs AS (SELECT source, spot // 256 AS seq, list(t ORDER BY spot) AS l FROM spots GROUP BY source, spot // 256), packed AS (SELECT source, seq, md5(array_to_string(list_concat(l, list_transform(range(0, 256 - len(l)), lambda i: 50256)), ',')) AS digest FROM seqs WHERE len(l) >= 128)"
+
+
+@query(f"{_PACKED} SELECT source, seq, digest FROM packed")
 def pack_sequences(spark, d):
     seqs = packing.pack(packing.offsets(_tokens(_docs(spark, d))), context=256)
     return seqs.select("source", "seq", F.md5(F.array_join("tokens", ",").cast("binary")).alias("digest"))
 
 
+# Small functions, sinks and sources, each by a round trip or a column.
+
+
+@query("SELECT DISTINCT 'slice_' || lang AS name, 'Slice ' || upper(lang[1]) || lower(substr(lang, 2)) AS shown FROM documents")
+def display_names(spark, d):
+    names = _docs(spark, d).select(F.concat(F.lit("slice_"), "lang").alias("name")).distinct()
+    return names.select("name", text.display_name(F.col("name")).alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3) ELSE CAST(n AS VARCHAR) END AS shown FROM (SELECT doc_id, n_chars * (1 + doc_id % 997) // 100 * 100 + 10 AS n FROM documents)")
+def short_numbers(spark, d):
+    n = F.floor(F.col("n_chars") * (1 + F.col("doc_id") % 997) / 100) * 100 + 10
+    return _docs(spark, d).select("doc_id", scores.short_number(n).alias("shown"))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN lang <> 'en' THEN left(text, 20) END, source) AS body FROM documents")
+def text_column_fallback(spark, d):
+    rows = _docs(spark, d).select("doc_id", F.when(F.col("lang") != "en", F.substring("text", 1, 20)).alias("text"), F.col("source").alias("content"))
+    return rows.select("doc_id", text.fallback_text(rows).alias("body"))
+
+
+@query(r"SELECT doc_id FROM (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN ' ' || chr(9) || chr(10) ELSE text END AS text FROM documents) WHERE regexp_matches(text, '\S')")
+def not_blank_rows(spark, d):
+    rows = _docs(spark, d).select("doc_id", F.when(F.col("n_chars") % 3 == 0, F.lit(" \t\n")).otherwise(F.col("text")).alias("text"))
+    return filters.not_blank(rows).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
+def unfinished_rows(spark, d):
+    return filters.unfinished(_docs(spark, d).select("doc_id").join(_table(spark, d, "labels"), "doc_id", "left"), "quality").select("doc_id")
+
+
+@query(f"WITH {_TOK} SELECT doc_id, md5(array_to_string(tokens[1:len(tokens) - 1], ',')) AS inputs, md5(array_to_string(tokens[2:], ',')) AS targets FROM tok")
+def next_token_pairs(spark, d):
+    digest = lambda c: F.md5(F.array_join(c, ",").cast("binary")).alias(c)
+    return packing.next_token_pairs(_tokens(_docs(spark, d))).select("doc_id", digest("inputs"), digest("targets"))
+
+
+@query("SELECT " + ", ".join(f"round(sum({c}::DOUBLE) * 100.0 / sum(l_quantity::DOUBLE + l_discount::DOUBLE + l_tax::DOUBLE), 2) AS {c}" for c in ("l_quantity", "l_discount", "l_tax")) + " FROM lineitem")
+def phase_shares(spark, d):
+    phases = ["l_quantity", "l_discount", "l_tax"]
+    return stats.phase_shares(_table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in phases]), phases)
+
+
+@query("SELECT doc_id, lang, text FROM documents")
+def validated_shards(spark, d):
+    path = tables.new_path(spark, "validated")
+    writers.validated_write(_docs(spark, d).select("doc_id", "lang", "text"), path)
+    return readers.scan(spark, path)
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def rolling_shards(spark, d):
+    """Files of 50 rows at most, with a fixed schema."""
+    path = tables.new_path(spark, "rolling")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType())])
+    writers.write_shards(_docs(spark, d), path, schema, rows=50)
+    return readers.scan(spark, path)
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def json_lines(spark, d):
+    path = tables.new_path(spark, "lines") + ".jsonl"
+    writers.write_any(_docs(spark, d).select("doc_id", "text", "lang"), path)
+    return readers.read_any(spark, path, "doc_id long, text string, lang string")
+
+
+def _sharded(spark: SparkSession, d: str) -> str:
+    spark.dataSource.register(tkds.TokenSource)
+    path = tables.new_path(spark, "token_shards")
+    seqs = packing.pack(packing.offsets(_tokens(_docs(spark, d))), context=256)
+    seqs.select(F.lit("").alias("shard"), F.col("seq").alias("seq_id"), "tokens").write.format("tkds").mode("append").option("sequencesPerShard", 40).save(path)
+    return path
+
+
+@query(f"{_PACKED} SELECT digest FROM packed")
+def token_shards(spark, d):
+    return spark.read.format("tkds").load(_sharded(spark, d)).select(F.md5(F.array_join("tokens", ",").cast("binary")).alias("digest"))
+
+
+@query(f"{_PACKED} SELECT count(*) AS sequences, 256 AS context FROM packed")
+def token_shard_headers(spark, d):
+    heads = spark.read.format("tkds").option("headerOnly", "true").load(_sharded(spark, d))
+    return heads.agg(F.sum("sequences").alias("sequences"), F.max("context").cast("long").alias("context"))
+
+
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, coalesce(sum(n_chars // 4) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM documents) WHERE run < 20000")
 def pack_budget(spark, d):
     return selection.in_order_to_budget(_scored(spark, d), F.lit(20_000), ["lang"]).select("doc_id", "lang")
