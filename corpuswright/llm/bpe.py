@@ -30,6 +30,7 @@ from . import pieces
 LONG_WORD = 400
 #: Bytes of words in one recursive query, and rows that one for long words may make.
 QUERY_BYTES, QUERY_ROWS = 200_000, 1_000_000
+MEMORY_MB = 300
 #: Characters encoded at a time by a worker: one recursive query each.
 CHUNK_CHARS = 6_000_000
 #: Words whose codes a worker keeps.
@@ -109,7 +110,7 @@ class WordEncoder:
 
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([v])] for v in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})  # nothing is left on a worker's disk
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})  # nothing is left on a worker's disk
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, new = (pa.array(c, pa.int32()) for c in zip(*pairs, strict=True))
         # Tokens that take part in a contraction of lower rank than their own: there, one place at a time is contracted.
@@ -140,6 +141,7 @@ class WordEncoder:
         while open_:
             rows = sum(len(state[k]) for k in open_)
             most = max(1, QUERY_ROWS // rows)
+            self.con.execute(f"SET memory_limit = '{max(MEMORY_MB, rows * 300 // 1_000_000)}MB'")  # one round of a huge word must fit
             pos = np.concatenate([np.arange(len(state[k]), dtype=np.int32) for k in open_])
             w = np.repeat(np.array(open_, np.int32), [len(state[k]) for k in open_])
             self.con.register("bytes", pa.table({"w": w, "pos": pos, "tok": np.concatenate([state[k] for k in open_])}))
