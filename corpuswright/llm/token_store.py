@@ -31,8 +31,8 @@ MAGIC = b"DAC1"
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1_000_000
-#: Characters encoded at a time by a worker.
-CHUNK_CHARS = 1_000_000
+#: Bytes of texts encoded at a time by a worker.
+CHUNK_BYTES = 4_000_000
 
 #: Names of a writer's files: the task, then the file within it.
 _NAME = r"part-(\d+)-.*-c(\d+)[^/]*$"
@@ -224,10 +224,11 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str
 
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for i, j in pieces.chunks(texts, CHUNK_CHARS):
-                for doc, values in zip(doc_ids[i:j], encoder.values(texts[i:j]), strict=True):
-                    data = b"".join(values) + end
+            texts = b.column(1)
+            for i, j in pieces.chunks(texts, CHUNK_BYTES):
+                ((ids_of, first, last),) = encoder.joined(texts.slice(i, j - i))
+                for doc, at, to in zip(doc_ids[i:j], first, last, strict=True):
+                    data = bytes(ids_of[at:to]) + end
                     names.append(doc)
                     counts.append(len(data) // 4)
                     found.append(data)

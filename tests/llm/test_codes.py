@@ -5,6 +5,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from corpuswright import tables
@@ -54,6 +56,28 @@ def test_cache_starts_anew():
     assert ["".join(v) for v in p.values(["a b c d e", "a f"])] == ["a b c d e", "a f"] and ["".join(v) for v in p.values(["g h"])] == ["g h"]
 
 
+def test_words_are_met_once():
+    """Line ends and marks make no new words, all white space is told apart, and words that come up again are kept."""
+    met = []
+    w = pieces.Words(lambda new: met.extend(new) or [x.encode() for x in new], 1, most=6)
+    texts = ["one two.\none two,\ntwo", None, "", "one\u2003 two", " two\n", "two!"]
+    for _ in range(2):
+        ((data, begin, end),) = w.joined(pa.array(texts))
+        assert [bytes(data[i:j]).decode() for i, j in zip(begin, end, strict=True)] == [t or "" for t in texts]
+    assert len(met) == len(set(met)) and {x for x in met if "two" in x} == {"two", " two", "\ntwo", "one\u2003 two"}
+    for k in range(40):
+        list(w.values([f"one {k}"]))
+    assert met.count("one") == 1 and len(w.now) + len(w.before) < 3 * 6 + 20 and len(met) == len(set(met))
+    spaces = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    assert pc.match_substring_regex(pa.array([c * 2 for c in spaces]), pieces._TWO_ARROW).to_pylist() == [True] * len(spaces)
+
+
+def test_library_words(library):
+    texts = ["a b.\nc d", "\n", "\n\n", " \n", "\nabc\n", "a \nb\n c", "it's\n's,\n'll", "<|endoftext|>\nx", "x\r\ny\tz\n", None, "", " "] + noise(7, 1500)
+    ((data, begin, end),) = pieces.library_encoder(PATH, True).joined(pa.array(texts))
+    assert [bytes(data[i:j]) for i, j in zip(begin, end, strict=True)] == [packed(library(t)) for t in texts]
+
+
 def test_levels_give_any_token():
     rng = np.random.default_rng(3)
     ids = rng.choice([0, 5, 255, 256, 50_000, 70_000, 2**32 - 1], 3000).astype(np.uint32)
