@@ -31,10 +31,10 @@ LONG_WORD = 400
 #: Bytes of words in one recursive query, and rows that one for long words may make.
 QUERY_BYTES, QUERY_ROWS = 200_000, 1_000_000
 MEMORY_MB = 300
-#: Characters encoded at a time by a worker: one recursive query each.
-CHUNK_CHARS = 6_000_000
-#: Words whose codes a worker keeps.
-WORDS = 600_000
+#: Bytes of texts encoded at a time by a worker.
+CHUNK_BYTES = 6_000_000
+#: Words whose codes a worker keeps, twice as many at most.
+WORDS = 400_000
 
 #: A row is a token and its position, with the next position and token of its word. best: in each word,
 #: the pair of least rank, leftmost among equals, and what follows its second token.
@@ -183,29 +183,30 @@ class WordEncoder:
         return out
 
 
-def worker(path: str, pattern: str) -> pieces.Pieces:
-    """Of this Python worker: piece -> (ids, decoded bytes), by way of the piece's words."""
+def worker(path: str, pattern: str) -> pieces.Words:
+    """Of this Python worker: text -> (ids, decoded bytes), by way of the words that match the pattern."""
     if (path, pattern) not in pieces._loaded:
         import regex
 
         find, coder = regex.compile(pattern).findall, WordEncoder(read_ranks(path))
-        words: dict[bytes, tuple[bytes, bytes]] = {}
+        inner: dict[bytes, tuple[bytes, bytes]] = {}  # matches that make up a piece's word with others
 
-        def encode(new: list[str]) -> tuple[list[tuple[bytes, bytes]], list[bool]]:
+        def encode(new: list[str]) -> list[tuple[bytes, bytes]]:
             found = [[w.encode() for w in find(x)] for x in new]
-            distinct = set(chain.from_iterable(found))
-            unseen = [w for w in distinct if w not in words]
-            if len(words) + len(unseen) > WORDS:
-                words.clear()
-                unseen = list(distinct)
-            rare = set(unseen)
+            unseen = [w for w in set(chain.from_iterable(found)) if w not in inner]
             ids = coder.encode(unseen)
+            made = {}
             for word, x, text in zip(unseen, ids, coder.decode(ids), strict=True):
-                words[word] = x.astype("<u4").tobytes(), word if text == word else text  # equal bytes are held once
-            values = [words[w[0]] if len(w) == 1 else (b"".join([words[x][0] for x in w]), b"".join([words[x][1] for x in w])) for w in found]
-            return values, [rare.isdisjoint(w) for w in found]
-
-        pieces._loaded[path, pattern] = pieces.Pieces(encode, 200_000)
+                made[word] = x.astype("<u4").tobytes(), word if text == word else text  # equal bytes are held once
+            get = lambda w: made.get(w) or inner[w]
+            values = [get(w[0]) if len(w) == 1 else tuple(map(b"".join, zip(*map(get, w), strict=True))) or (b"", b"") for w in found]
+            several = {w: get(w) for w in set(chain.from_iterable(w for w in found if len(w) > 1))}
+            if len(inner) + len(several) > WORDS:
+                inner.clear()
+            inner.update(several)
+            return values
+
+        pieces._loaded[path, pattern] = pieces.Words(encode, 2, WORDS)
     return pieces._loaded[path, pattern]
 
 
@@ -219,17 +220,17 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool
         coder = worker(ranks_path, pattern)
         for b in batches:
             doc_ids = b.column(0)
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for i, j in pieces.chunks(texts, CHUNK_CHARS):
+            texts = b.column(1)
+            for i, j in pieces.chunks(texts, CHUNK_BYTES):
                 n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
-                for values in coder.values(texts[i:j]):
-                    ids, text = map(b"".join, zip(*values, strict=True))
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(text).hexdigest())
+                (ids, *ids_at), (text, *text_at) = coder.joined(texts.slice(i, j - i))
+                for begin, end, first, last in zip(*ids_at, *text_at, strict=True):
+                    n.append((end - begin) // 4)
+                    ids_sha.append(hashlib.sha256(ids[begin:end]).hexdigest())
+                    text_sha.append(hashlib.sha256(text[first:last]).hexdigest())
                     if keep:
-                        all_ids.append(memoryview(ids).cast("I").tolist())
-                        all_text.append(text)
+                        all_ids.append(ids[begin:end].cast("I").tolist())
+                        all_text.append(bytes(text[first:last]))
                 columns = {"doc_id": doc_ids.slice(i, j - i), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
                 if keep:
                     columns |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(all_text, pa.binary())}

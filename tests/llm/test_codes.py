@@ -161,6 +161,19 @@ def test_bpe_words(tik):
     assert [x.tolist() for x in by_query] == [x.tolist() for x in by_rounds] and coder.decode(by_query) == words
 
 
+def test_bpe_queries_recurring_words_once(tik, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    monkeypatch.setattr(pieces, "_loaded", {})
+    queried, plain = [], bpe.WordEncoder.encode
+    monkeypatch.setattr(bpe.WordEncoder, "encode", lambda self, words: queried.extend(words) or plain(self, words))
+    w = bpe.worker(tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern())
+    for k in range(60):
+        text = f"{'ab' * k}x,\nthe,\nit's  {'ba' * k}y\n\n thé!"
+        ((ids, decoded),) = next(w.values([text]))
+        assert ids == packed(tik(text)) and decoded == text.encode()
+    assert queried.count(b"the") == 1
+
+
 def test_bpe_words_of_any_length(tik, monkeypatch):
     """Across the length from which the second recursive query works, and over several runs of it."""
     import tiktoken
