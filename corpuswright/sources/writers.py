@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .. import tables
+
 
 def write_shards(df: DataFrame, path: str, schema: T.StructType | None = None, rows: int = 1_000_000, by: str | None = None) -> None:
     """Parquet files of so many rows at most, with a fixed schema if one is given."""
@@ -87,27 +92,70 @@ def write_manifest(spark: SparkSession, path: str, batch_ids: list[str], metadat
     write_report(spark.createDataFrame([(batch_ids, metadata)], "batch_ids array<string>, metadata map<string,string>"), path)
 
 
+def _walks(n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of n bytes: the bytes before each (and in all), and should a file begin with a line: the line with which the
+    next one begins, how many files begin from there on, and the bytes in the last of these."""
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])
+    then = np.maximum(np.searchsorted(at, at[:-1] + limit, "right") - 1, np.arange(1, len(at)))
+    files, tail = np.ones(len(n), np.int64), at[-1] - at[:-1]
+    for i in range(len(n) - 1, -1, -1):
+        if (j := then[i]) < len(n):
+            files[i], tail[i] = files[j] + 1, tail[j]
+    return at, then, files, tail
+
+
 def request_files(lines: DataFrame, limit: int = 150_000_000, part: str | None = None, key: str = "custom_id") -> DataFrame:
     """file: the request file of each line, in key order: a new one begins where the next line would exceed limit bytes.
 
-    Exact greedy filling within each part; parts (say, ranges of keys) are filled independently, in parallel."""
+    Exact greedy filling within each part. Lines are written in order, in blocks of a part's range of keys. All that a block
+    has to know of those before it is the number of files and the bytes in the last one; for whatever these bytes are, its
+    first lines (as many as a file holds) tell what they will be at its end. So blocks are summed up in parallel, a walk
+    over these sums tells where each begins, and lines themselves are never gathered. A null line counts as an empty one."""
     rows = lines.withColumn("part", F.col(part) if part else F.lit("0")).select("part", key, "line")
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = None, 0, 0
-        for pdf in batches:
-            files = []
-            for p, line in zip(pdf["part"], pdf["line"], strict=True):
-                size = len(line.encode()) + 1
-                if p != at[0]:
-                    at = p, 0, 0
-                if at[2] and at[2] + size > limit:
-                    at = p, at[1] + 1, 0
-                at = p, at[1], at[2] + size
-                files.append(at[1])
-            yield pdf.assign(file=files)
-
-    return rows.repartition("part").sortWithinPartitions("part", key).mapInPandas(fill, f"part string, {key} string, line string, file int")
+    ordered = rows.repartitionByRange("part", key).sortWithinPartitions("part", key)
+    ordered = tables.written(ordered.withColumn("__id", F.monotonically_increasing_id()), "request_lines")
+    sizes = ordered.select("part", "__id", F.shiftright("__id", 33).alias("__block"), (F.coalesce(F.octet_length("line"), F.lit(0)) + 1).cast("long").alias("__n"))
+    kind = dict(rows.dtypes)["part"]
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__id")
+        at, _, files, tail = _walks(pdf["__n"].to_numpy(), limit)
+        files, tail, upto = (x[at[:-1] < limit] for x in (files, tail, at[1:]))
+        last = np.append((files[1:] != files[:-1]) | (tail[1:] != tail[:-1]), True)  # of lines with the same end
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "__block": [pdf["__block"].iloc[0]], "__in": [at[-1]], "__upto": [upto[last]], "__files": [files[last]], "__tail": [tail[last]]})
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, file, held, first = None, -1, limit, True
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if first or r["part"] != now:
+                    now, file, held, first = r["part"], -1, limit, False
+                out.append((file, held))
+                k = bisect_right(r["__upto"], limit - held)
+                if k < len(r["__upto"]):
+                    file, held = file + r["__files"][k], r["__tail"][k]
+                else:
+                    held += r["__in"]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f for f, _ in out], pa.int64()), pa.array([h for _, h in out], pa.int64())], names=["part", "__block", "__file", "__held"])
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__id")
+        file, held = int(pdf["__file"].iloc[0]), int(pdf["__held"].iloc[0])
+        at, then, _, _ = _walks(pdf["__n"].to_numpy(), limit)
+        begins = np.zeros(len(pdf), np.int64)
+        i = int(np.searchsorted(at, limit - held, "right")) - 1 if held <= limit else 0
+        while i < len(pdf):
+            begins[i], i = 1, then[i]
+        return pd.DataFrame({"__id": pdf["__id"], "file": file + np.cumsum(begins)})
+
+    per = sizes.groupBy("part", "__block").applyInPandas(sums, f"part {kind}, __block long, __in long, __upto array<long>, __files array<long>, __tail array<long>")
+    heads = per.repartition("part").sortWithinPartitions("part", "__block").mapInArrow(walk, f"part {kind}, __block long, __file long, __held long")
+    heads = tables.written(heads, "request_blocks")  # a row a block
+    same = F.col("part").eqNullSafe(F.col("__part")) & (F.col("__block") == F.col("__head"))
+    begun = sizes.join(F.broadcast(heads.select(F.col("part").alias("__part"), F.col("__block").alias("__head"), "__file", "__held")), same)
+    files = begun.groupBy("part", "__block").applyInPandas(number, "__id long, file int")
+    return ordered.join(files, "__id").select("part", key, "line", "file")
 
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

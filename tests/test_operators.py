@@ -305,3 +305,28 @@ def test_star_clusters_of_a_chain_match_the_greedy_rule(spark, monkeypatch):
         want |= {k: (first if len(group) > 1 else -1, k == best) for k in group}
     got = {r["doc_id"]: (r["cluster_id"], r["keep"]) for r in dedup.star_clusters(keys, meta).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("limit", (1, 20, 90, 4000))
+def test_request_files_spread_over_tasks(spark, limit):
+    """Greedy files that reach over blocks, for which no part's lines meet in one task."""
+    rng = random.Random(limit)
+    data = [(f"{i:04d}", rng.choice(("a", "a", "a", "b", None)), None if i == 7 else "é" * rng.choice((0, 3, 9, 30))) for i in range(600)]
+    lines = spark.createDataFrame(data, "custom_id string, p string, line string")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        out = writers.request_files(lines, limit, "p")
+        got = {r["custom_id"]: r["file"] for r in out.collect()}
+        most = out.groupBy("part", F.spark_partition_id()).count().where("part = 'a'").agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset(name)
+    want = {}
+    for part in ("a", "b", None):
+        file, held = 0, 0
+        for i, p, line in data:
+            if p == part:
+                n = len((line or "").encode()) + 1
+                file, held = (file + 1, n) if held and held + n > limit else (file, held + n)
+                want[i] = file
+    assert got == want and most < sum(p == "a" for _, p, _ in data)
