@@ -1,5 +1,6 @@
 """Token shards as a data source: a header of 16 bytes (magic, version, context, sequences, vocabulary), then the
-sequences as unsigned 16-bit integers. One partition a shard; with headerOnly, only headers are read."""
+sequences as unsigned 16-bit integers. A partition holds shards up to a number of bytes, so that small ones don't make a
+task each; with headerOnly, only headers are read."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,8 @@ MAGIC, VERSION = b"TKDS", 1
 HEADER = "<4sHHII"
 SCHEMA = "shard string, seq_id long, tokens array<int>"
 HEADERS = "shard string, version int, context int, sequences long, vocabulary long"
+#: Bytes of the shards that one task reads (a larger shard is a task of its own), and what opening a file counts as.
+TASK_BYTES, OPEN_BYTES = 32_000_000, 64_000
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -39,23 +43,35 @@ def read_header(data: bytes) -> tuple[int, int, int, int]:
 
 
 @dataclass
-class Shard(InputPartition):
-    path: str
+class Shards(InputPartition):
+    paths: list[str]
 
 
 class TokenReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.headers = options["path"], options.get("headeronly", "false").lower() == "true"
 
-    def partitions(self) -> list[Shard]:
+    def partitions(self) -> list[Shards]:
         fs, path = _fs(self.path)
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True)) if fs.get_file_info(path).type == pafs.FileType.Directory else [fs.get_file_info(path)]
-        return [Shard(p) for p in sorted(f.path for f in found if f.path.endswith(".bin"))]
-
-    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for f in sorted((f for f in found if f.path.endswith(".bin")), key=lambda f: f.path):
+            cost = OPEN_BYTES + (0 if self.headers else f.size or 0)
+            if not out or held + cost > TASK_BYTES:
+                out.append(Shards([]))
+                held = 0
+            out[-1].paths.append(f.path)
+            held += cost
+        return out
+
+    def read(self, partition: Shards) -> Iterator[pa.RecordBatch]:
         fs, _ = _fs(self.path)
-        name = os.path.basename(partition.path)
-        with fs.open_input_stream(partition.path) as f:
+        for path in partition.paths:
+            yield from self.rows_of(fs, path)
+
+    def rows_of(self, fs: pafs.FileSystem, path: str) -> Iterator[pa.RecordBatch]:
+        name = os.path.basename(path)
+        with fs.open_input_stream(path) as f:
             version, context, n, vocabulary = read_header(f.read(struct.calcsize(HEADER)))
             if self.headers:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([version], pa.int32()), pa.array([context], pa.int32()), pa.array([n], pa.int64()), pa.array([vocabulary], pa.int64())], names=["shard", "version", "context", "sequences", "vocabulary"])
@@ -86,18 +102,17 @@ class TokenWriter(DataSourceArrowWriter):
         fs.create_dir(path, recursive=True)
         files, held, n = [], [], 0
 
-        def flush() -> None:
+        def flush(least: int) -> None:
+            """Write shards from what is held, and keep fewer rows than least; they are joined once."""
             nonlocal held, n
-            while n:
-                rows = np.concatenate(held)
-                now, rest = rows[: self.most], rows[self.most :]
+            rows, k = np.concatenate(held), 0
+            while len(rows) - k >= least:
                 name = f"{path}/.{uuid.uuid4().hex}.tmp"
                 with fs.open_output_stream(name) as f:
-                    f.write(pack_shard(now, self.vocabulary))
+                    f.write(pack_shard(rows[k : k + self.most], self.vocabulary))
                 files.append(name)
-                held, n = ([rest], len(rest)) if len(rest) else ([], 0)
-                if n < self.most:
-                    return
+                k += self.most
+            held, n = ([rows[k:].copy()], len(rows) - k) if k < len(rows) else ([], 0)
 
         for b in iterator:
             tokens = b.column(b.schema.get_field_index("tokens"))
@@ -107,9 +122,9 @@ class TokenWriter(DataSourceArrowWriter):
             held.append(rows)
             n += len(rows)
             if n >= self.most:
-                flush()
+                flush(self.most)
         if n:
-            flush()
+            flush(1)
         return Written(files)
 
     def commit(self, messages: list) -> None:
@@ -118,8 +133,9 @@ class TokenWriter(DataSourceArrowWriter):
             for f in fs.get_file_info(pafs.FileSelector(path)):
                 if f.path.endswith(".bin"):
                     fs.delete_file(f.path)
-        for k, name in enumerate(f for m in messages if m for f in m.files):
-            fs.move(name, f"{path}/train_{k:05d}.bin")
+        names = [f for m in messages if m for f in m.files]
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda k: fs.move(names[k], f"{path}/train_{k:05d}.bin"), range(len(names))))
 
     def abort(self, messages: list) -> None:
         fs, _ = _fs(self.path)

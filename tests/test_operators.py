@@ -330,3 +330,17 @@ def test_request_files_spread_over_tasks(spark, limit):
                 file, held = (file + 1, n) if held and held + n > limit else (file, held + n)
                 want[i] = file
     assert got == want and most < sum(p == "a" for _, p, _ in data)
+
+
+def test_small_token_shards_share_a_task(spark, tmp_path, monkeypatch):
+    """The number of tasks goes by bytes, not by files."""
+    spark.dataSource.register(tkds.TokenSource)
+    df = spark.range(200).select(F.array(*[(F.col("id") + k).cast("int") for k in range(8)]).alias("tokens")).coalesce(2)
+    df.write.format("tkds").option("path", str(tmp_path / "t")).option("sequencesPerShard", 2).mode("append").save()
+    assert len(list((tmp_path / "t").glob("*.bin"))) == 100
+    for heads in ("false", "true"):
+        back = spark.read.format("tkds").option("path", str(tmp_path / "t")).option("headerOnly", heads).load()
+        assert back.rdd.getNumPartitions() == 1 and back.count() == (100 if heads == "true" else 200) and back.select("shard").distinct().count() == 100
+    monkeypatch.setattr(tkds, "TASK_BYTES", 3 * (tkds.OPEN_BYTES + 48))
+    parts = tkds.TokenReader({"path": str(tmp_path / "t")}).partitions()
+    assert [len(p.paths) for p in parts] == [3] * 33 + [1]
