@@ -344,3 +344,11 @@ def test_small_token_shards_share_a_task(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tkds, "TASK_BYTES", 3 * (tkds.OPEN_BYTES + 48))
     parts = tkds.TokenReader({"path": str(tmp_path / "t")}).partitions()
     assert [len(p.paths) for p in parts] == [3] * 33 + [1]
+
+
+def test_grid_is_one_task(spark):
+    """Cross joins of local tables would make as many tasks as cores to the fourth power."""
+    from corpuswright import queries
+
+    grid = queries.queries()["grid_configs"](spark, "")
+    assert grid.rdd.getNumPartitions() == 1 and grid.count() == 18
