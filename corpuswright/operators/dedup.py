@@ -27,30 +27,36 @@ def coefficients(n: int = PERMUTATIONS, seed: int = 42) -> list[tuple[int, int]]
 
 def shingle_hashes(shingles: Column) -> Column:
     """The first 31 bits of each shingle's md5, made where the text is. Repeats do no harm to minima."""
-    return F.transform(shingles, lambda x: F.shiftright(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"), 1))
+    return F.transform(shingles, lambda x: F.shiftright(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"), 1).cast("int"))
 
 
 def _least(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minima of (a h + b) mod PRIME. As PRIME is 2^31 - 1, the remainder is a sum of 31-bit halves."""
     low, p = np.full(len(a), PRIME, np.uint64), np.uint64(PRIME)
     for k in range(0, len(h), 256):
-        x = h[k : k + 256, None] * a + b
+        x = h[k : k + 256, None].astype(np.uint64) * a + b
         for _ in range(2):
             x = (x & p) + (x >> np.uint64(31))
         np.minimum(low, np.where(x == p, np.uint64(0), x).min(axis=0), out=low)
     return low
 
 
+#: Documents whose signatures leave a task at once.
+SIGNED = 500
+
+
 def signatures(df: DataFrame, shingles: Column, n: int = PERMUTATIONS, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """key, signature: array<long>, null for an empty set. Only hashes leave the engine, never shingles."""
+    """key, signature: array<long>, null for an empty set. Only hashes leave the engine, four bytes each, never shingles; they
+    are read where Arrow holds them, and what is made beside them goes by documents, not by batches."""
     a, b = np.array(coefficients(n, seed), np.uint64).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat, cuts = lists.values.to_numpy().astype(np.uint64), lists.offsets.to_numpy()
-            out = [_least(flat[i:j], a, b).astype(np.int64) if j > i else None for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({key: batch.column(0), "signature": pa.array(out, pa.list_(pa.int64()))})
+            flat, cuts = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            for k in range(0, batch.num_rows, SIGNED):
+                ends = cuts[k : k + SIGNED + 1]
+                out = [_least(flat[i:j], a, b).astype(np.int64) if j > i else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_pydict({key: batch.column(0).slice(k, SIGNED), "signature": pa.array(out, pa.list_(pa.int64()))})
 
     return df.select(F.col(key), shingle_hashes(shingles).alias("h")).mapInArrow(run, f"{key} long, signature array<long>")
 

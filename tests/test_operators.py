@@ -352,3 +352,26 @@ def test_grid_is_one_task(spark):
 
     grid = queries.queries()["grid_configs"](spark, "")
     assert grid.rdd.getNumPartitions() == 1 and grid.count() == 18
+
+
+def test_signatures_hold_little_beside_a_batch(spark):
+    """Hashes of four bytes, and signatures that leave the task by some documents."""
+    from pyspark.sql import types as T
+
+    df = spark.range(1200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("a b "), F.col("id").cast("string"))).alias("text"))
+    hashes = dedup.shingle_hashes(text.word_shingles(F.col("text")))
+    assert df.select(hashes.alias("h")).schema["h"].dataType.elementType == T.IntegerType()
+    got = {r["doc_id"]: (r["signature"], r["h"]) for r in dedup.signatures(df, text.word_shingles(F.col("text"))).join(df.select("doc_id", hashes.alias("h")), "doc_id").collect()}
+    assert len(got) == 1200
+    for sig, h in got.values():
+        assert sig == ([min((a * x + b) % dedup.PRIME for x in h) for a, b in dedup.coefficients()] if h else None)
+
+
+def test_values_are_mapped_one_by_one(spark, monkeypatch):
+    """No batch of texts becomes Python strings at once."""
+    import inspect
+
+    df = spark.createDataFrame([("é" * 50,), ("",), (None,), ("xyz" * 9,)], "t string")
+    want = [len(zlib.compress(t.encode())) / len(t.encode()) if t else 0.0 for (t,) in rows(df)]
+    assert [r[0] for r in rows(df.select(text.compression_ratio(F.col("t"))))] == want
+    assert "pandas" not in inspect.getsource(text)
