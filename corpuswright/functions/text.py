@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,23 +42,24 @@ def content_hash(text: Column, n: int = 512) -> Column:
     return F.md5(F.concat_ws("|", F.left(text, F.lit(n)), F.right(text, F.lit(n)), F.length(text).cast("string")).cast("binary"))
 
 
-def _mapped(f: Callable, kind: str) -> Callable[[Column], Column]:
-    """f over each value of a column, in Arrow batches."""
+def _mapped(f: Callable, kind: str, value: Callable = lambda v: v.as_py()) -> Callable[[Column], Column]:
+    """f over each value of a column, one after another: of an Arrow batch, no more than one value is a Python object at
+    a time. value makes it of an Arrow scalar."""
+    made = {"double": pa.float64(), "string": pa.string()}[kind]
 
-    def over(x: pd.Series) -> pd.Series:
-        return x.map(f)
+    def over(x: pa.Array) -> pa.Array:
+        return pa.array((f(value(v)) for v in x), made)
 
-    over.__annotations__ = {"x": pd.Series, "return": pd.Series}
-    return lambda c: F.pandas_udf(over, kind)(c)
+    return lambda c: F.arrow_udf(over, kind)(c)
 
 
-def _ratio(t: str | None) -> float:
-    return len(zlib.compress(b)) / len(b) if t and (b := t.encode()) else 0.0
+def _ratio(b: pa.Buffer | None) -> float:
+    return len(zlib.compress(b)) / b.size if b is not None and b.size else 0.0
 
 
 def compression_ratio(text: Column) -> Column:
     """Deflated size over size; 0 for no text."""
-    return _mapped(_ratio, "double")(text)
+    return _mapped(_ratio, "double", lambda v: v.as_buffer())(text)
 
 
 def netloc(url: Column) -> Column:
