@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .. import tables
 from ..functions import scores, text
 from ..operators import dedup, filters, selection
 
@@ -23,12 +24,14 @@ def code_meta(scored: DataFrame) -> DataFrame:
 
 def web(scored: DataFrame, target: int, with_dedup: bool = True) -> DataFrame:
     """Validate, filter, select by priority, and keep one document of each cluster: full rows with groups,
-    relevance and cluster. Decisions are made on narrow columns; wide rows are read once, at the end."""
+    relevance and cluster. The selection is made on narrow columns; then the rows it chose are written, so that signatures,
+    clusters and the result neither read nor score the whole input again."""
     meta = web_meta(scored)
     chosen, _ = selection.priority_sample(meta, target)
     rows = meta.join(chosen.select("doc_id"), "doc_id", "left_semi")
     if not with_dedup:
         return rows.withColumn("dedup_cluster_id", F.lit(-1).cast("long"))
+    rows = tables.written(rows, "chosen")
     keys = dedup.shared_buckets(dedup.band_keys(dedup.signatures(rows, text.word_shingles(F.col("text")))))
     clusters = dedup.star_clusters(keys, rows.select("doc_id", "relevance"))
     return dedup.with_clusters(rows, clusters)

@@ -375,3 +375,10 @@ def test_values_are_mapped_one_by_one(spark, monkeypatch):
     want = [len(zlib.compress(t.encode())) / len(t.encode()) if t else 0.0 for (t,) in rows(df)]
     assert [r[0] for r in rows(df.select(text.compression_ratio(F.col("t"))))] == want
     assert "pandas" not in inspect.getsource(text)
+
+
+def test_web_programme_scores_its_input_once(spark):
+    """What follows the selection reads the rows chosen, not the whole input."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = curation.web(scoring.hashed_scores(docs), 20_000)
+    assert got.count() > 0 and not [f for f in got.inputFiles() if "testdata" in f]
